@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module with `query(spark, sf_dir)` and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op4_source_mixing": "source_mixing",
     "op5_minhash_dedup": "minhash_dedup",
     "op7_bpe": "bpe",
     "op9_substring_dedup": "substring_dedup",
