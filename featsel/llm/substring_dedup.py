@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featsel.llm.common import small, table, written
 from featsel.llm.shingles import WordHash, mixed
@@ -60,7 +61,7 @@ def _key(words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _keys(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _key(t.encode().split())[0])
 
