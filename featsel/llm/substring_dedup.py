@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,11 +66,14 @@ def _keys(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _key(t.encode().split())[0])
 
 
-def _known(docs: DataFrame) -> DataFrame:
-    """row_id: the doc_id, or for a null one a hash of the text. The text's own key is checked
-    wherever rows are matched by it, so rows that share a row_id do no harm."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"text": text, "row_id": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))})
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _row_id() -> Column:
+    """The doc_id, or for a null one a hash of the text. The text's own key is checked wherever
+    rows are matched by this, so rows that share it do no harm."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(_text()))
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -144,7 +147,7 @@ class Repeats:
     """
 
     def __init__(self, docs: DataFrame):
-        docs = _known(docs)
+        docs = docs.select("doc_id", _row_id().alias("row_id"), _text().alias("text"))
         scanned = written(_scan(docs))
         texts = written(scanned.groupBy("key").agg(F.count("*").alias("copies"), F.min("row_id").alias("rep")))
         rep = texts.select("key", F.col("rep").alias("row_id"), F.lit(True).alias("one"))
@@ -226,12 +229,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     found = Repeats(docs.select("doc_id", "text"))
     cut = written(found.shortened().select("row_id", "key", "kept").union(found.whole().selectExpr("row_id", "key", "''")))
     ids = small(cut.select("row_id").distinct())
-    rows = _known(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _row_id().alias("row_id"), _text().alias("text"))
     changed = rows.join(ids, "row_id", "left_semi").withColumn("key", _keys("text"))
-    changed = changed.join(cut.dropDuplicates(["row_id", "key"]), ["row_id", "key"], "left").withColumn("text", F.coalesce("kept", "text"))
-    text = docs.select("text").schema[0].dataType
-    out = rows.join(ids, "row_id", "left_anti").unionByName(changed.select(rows.columns))
-    return out.withColumn("text", F.col("text").cast(text)).select(docs.columns)
+    changed = changed.join(cut.dropDuplicates(["row_id", "key"]), ["row_id", "key"], "left")
+    new = [F.coalesce("kept", "row.text").alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns]
+    return rows.join(ids, "row_id", "left_anti").select("row.*").unionByName(changed.select(new))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
