@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module with `query(spark, sf_dir)` and, where SQL can express it, ORACLE_SQL.
 MODULES = {
     "op1_quality_classifier": "quality",
+    "op2_url_filters": "url_filters",
     "op4_source_mixing": "source_mixing",
     "op5_minhash_dedup": "minhash_dedup",
     "op7_bpe": "bpe",
