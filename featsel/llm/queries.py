@@ -11,6 +11,7 @@ MODULES = {
     "op4_source_mixing": "source_mixing",
     "op5_minhash_dedup": "minhash_dedup",
     "op7_bpe": "bpe",
+    "op8_fingerprints": "fingerprints",
     "op9_substring_dedup": "substring_dedup",
 }
 
