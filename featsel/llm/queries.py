@@ -10,6 +10,7 @@ MODULES = {
     "op2_url_filters": "url_filters",
     "op4_source_mixing": "source_mixing",
     "op5_minhash_dedup": "minhash_dedup",
+    "op6_ann_multiprobe": "ann",
     "op7_bpe": "bpe",
     "op8_fingerprints": "fingerprints",
     "op9_substring_dedup": "substring_dedup",
