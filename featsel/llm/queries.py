@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_quality_classifier": "quality",
     "op2_url_filters": "url_filters",
+    "op3_toxicity": "toxicity",
     "op4_source_mixing": "source_mixing",
     "op5_minhash_dedup": "minhash_dedup",
     "op6_ann_multiprobe": "ann",
