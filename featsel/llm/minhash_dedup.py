@@ -16,8 +16,12 @@ from featsel.llm.shingles import MinHash, WordHash, shingle_set
 #: 32 bands of 4 rows miss a pair of similarity 0.75 with probability (1 - 0.75^4)^32 = 5e-6.
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
+#: Hashes of the longer signature that members of undecided buckets get.
+LONG = 512
 #: Signature hashes compared at once by the sequential test.
 BATCH = 16
+#: Members of a bucket that meet as many others in one task.
+BLOCK = 512
 #: A pair is pruned once its posterior probability of being similar enough falls below this.
 MISS = 1e-4
 
@@ -84,30 +88,106 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _alive(u: np.ndarray, v: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Compare signatures row by row (either side may be one row), batch by batch, and drop a pair
+    once it has fewer matches than its posterior needs: the places of those left, their matches."""
+    n = max(len(u), len(v))
+    left, found = np.arange(n), np.zeros(n, np.int64)
+    for k, need in enumerate(least):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        a, b = (x[:, part] if len(x) == 1 and n > 1 else x[left, part] for x in (u, v))
+        found[left] += (a == b).sum(axis=1)
+        left = left[found[left] >= need]
+        if not len(left):
+            break
+    return left, found[left]
+
+
+def _signatures_of(column: pa.Array, size: int = SIZE) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, size)
+
+
+def _long_signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> u (the doc_id), sig: LONG hashes of 16 bits; texts without words are left out."""
+
+    def run(batches):
+        hashed, minhash = WordHash(), MinHash(LONG, seed=11)
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            for at in range(0, len(texts), 256):
+                sets = [shingle_set(t or b"", hashed) for t in texts[at : at + 256].to_pylist()]
+                keep = [k for k, s in enumerate(sets) if len(s)]
+                if keep:
+                    sig = minhash([sets[k] for k in keep]).astype(np.uint16)
+                    ids = batch.column("doc_id")[at : at + 256].take(pa.array(keep))
+                    yield pa.record_batch([ids, pa.array([s.tobytes() for s in sig], pa.binary())], names=["u", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "u long, sig binary")
+
+
 def _similar_signatures(pairs: DataFrame, percent: int) -> DataFrame:
-    """Keep the pairs (u, v, sig_u, sig_v) that the sequential test doesn't prune; adds the
-    number of equal hashes."""
+    """The pairs (u, v, sig_u, sig_v) that the sequential test doesn't prune, with their matches."""
     least = np.array(fewest_matches(percent))
 
     def run(batches):
         for batch in batches:
-            both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16) for c in ("sig_u", "sig_v")]
-            # matches after each batch of hashes; the pair lives while it has the fewest needed
-            u, v = (x.reshape(-1, SIZE) for x in both)
-            alive, found = np.arange(len(u)), np.zeros(len(u), np.int64)
-            for k, need in enumerate(least):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                found[alive] += (u[alive, part] == v[alive, part]).sum(axis=1)
-                alive = alive[found[alive] >= need]
-            keep = pa.array(alive)
-            yield pa.record_batch(
-                [batch.column("u").take(keep), batch.column("v").take(keep), pa.array(found[alive])],
-                names=["u", "v", "matches"],
-            )
+            left, found = _alive(*(_signatures_of(batch.column(c)) for c in ("sig_u", "sig_v")), least)
+            keep = pa.array(left)
+            yield pa.record_batch([batch.column("u").take(keep), batch.column("v").take(keep), pa.array(found)], names=["u", "v", "matches"])
 
     return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long, matches long")
 
 
+def _between_groups(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (u, v) of different groups inside a bucket that the sequential test doesn't prune.
+
+    `members`: band, bands (all of u's), u, g (group), sig. A bucket is cut into blocks of BLOCK members and every two
+    of its blocks meet in a task of their own, so that a task holds two blocks however large the
+    bucket is, and pairs are compared without being written; a pair that shares several buckets is
+    returned in the first of its bands only. best: only the best partner of each
+    member in each two blocks; else every one that is left."""
+    least = np.array(fewest_matches(percent, size=LONG))
+    sizes = written(members.groupBy("band").agg(F.count("*").alias("n")))
+    packs = max(1, (sizes.where(f"n <= {BLOCK}").agg(F.sum("n")).first()[0] or 0) // BLOCK)
+    few = F.col("n") <= BLOCK  # many small buckets share a task
+    sizes = sizes.select(
+        "band",
+        F.when(few, F.pmod(F.xxhash64("band"), F.lit(packs))).otherwise(F.col("band")).alias("pack"),
+        F.when(few, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"),
+    )
+    rows = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("*", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+
+    def run(key, part):
+        u, g, band = (part.column(c).to_numpy() for c in ("u", "g", "band"))
+        sig, block = _signatures_of(part.column("sig"), LONG), part.column("block").to_numpy()
+        all_bands = part.column("bands").combine_chunks().flatten().to_numpy().reshape(len(u), BANDS)
+        _, lo, hi = (k.as_py() for k in key[:3])
+        second = np.flatnonzero(block == hi)
+        second = second[np.argsort(band[second], kind="stable")]
+        bands = band[second]
+        out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in np.flatnonzero(block == lo):
+            to = second[np.searchsorted(bands, band[i]) : np.searchsorted(bands, band[i], "right")]
+            to = to[g[to] != g[i]]
+            if lo == hi and not best:
+                to = to[u[to] > u[i]]
+            if len(to):
+                same = all_bands[to] == all_bands[i]
+                to = to[all_bands[i][same.argmax(axis=1)] == band[i]]
+            if len(to):
+                left, found = _alive(sig[i : i + 1], sig[to], least)
+                if best and len(left):
+                    left = left[[np.lexsort((u[to[left]], -found))[0]]]
+                out[0].append(np.full(len(left), u[i]))
+                out[1].append(u[to[left]])
+        a, b = map(np.concatenate, out)
+        return pa.table({"u": pa.array(np.minimum(a, b)), "v": pa.array(np.maximum(a, b))})
+
+    return rows.groupBy("pack", "lo", "hi", "blocks").applyInArrow(run, "u long, v long").distinct()
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, the full set of shingle hashes."""
 
@@ -130,13 +210,15 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough; both ends are doc_ids."""
     ends = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
-    if ends.isEmpty():
+    n = ends.count()
+    if not n:
         return pairs.select("u", "v").limit(0)
     sets = written(shingle_sets(docs.join(small(ends), "doc_id", "left_semi")))
     of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = F.size(F.array_intersect("set_u", "set_v"))
     union = F.size("set_u") + F.size("set_v") - both
-    return written(pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").where(100 * both >= percent * union).select("u", "v"))
+    linked = pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").where(100 * both >= percent * union).select("u", "v")
+    return written(linked.coalesce(max(8, n // 2_000)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -148,9 +230,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     2. Representatives that share a band are candidates. Every bucket first links its members to
        its smallest one (a star, not all pairs); signatures of the candidates are compared batch
        by batch, pruning by the posterior. Each representative's best star edge is confirmed on
-       full sets, then the remaining edges between what are still different groups.
-    3. Buckets that still hold several groups have every pair between different groups tested
-       in the same way, so that no candidate pair is dropped; pairs inside one group can't change it.
+       full sets, which makes the first groups.
+    3. In buckets that still hold several groups the pairs between different groups are tested in
+       the same way on longer signatures (pairs inside a group can't change it): first only each
+       member's best partner, to join what belongs together, then every pair, so that none is dropped.
     4. Groups are the connected components of the confirmed links.
 
     A null or blank text has no shingles, links with nothing and is kept. A null doc_id takes no
@@ -172,30 +255,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = written(buckets.join(hubs.select("band", "hub"), "band"))
 
     sig = reps.select("doc_id", "sig")
-    with_sigs = lambda p: (
-        p.join(sig.toDF("u", "sig_u"), "u").join(sig.toDF("v", "sig_v"), "v")
-    )
     stars = shared.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    stars = written(_similar_signatures(with_sigs(stars), percent))
-
-    best = stars.groupBy("u").agg(F.max_by("v", F.struct("matches", -F.col("v"))).alias("v"))
+    stars = stars.join(sig.toDF("u", "sig_u"), "u").join(sig.toDF("v", "sig_v"), "v")
+    best = _similar_signatures(stars, percent).groupBy("u").agg(F.max_by("v", F.struct("matches", -F.col("v"))).alias("v"))
     links = _confirmed(docs, written(best), percent)
-    for step in ("stars", "rest"):
-        groups = written(connected_components(links))
-        named = lambda p, x: (
-            p.join(groups.select(F.col("node").alias(x), F.col("component").alias(f"g_{x}")), x, "left")  # noqa: B023
-            .withColumn(f"g_{x}", F.coalesce(f"g_{x}", x))
-        )
-        if step == "stars":
-            left = named(named(stars, "u"), "v").where("g_u <> g_v").select("u", "v")
-        else:
-            member = written(named(shared.select(F.col("node").alias("u"), "band"), "u"))
-            open_ = member.groupBy("band").agg(F.min("g_u").alias("lo"), F.max("g_u").alias("hi")).where("lo < hi")
-            member = written(member.join(open_.select("band"), "band", "left_semi"))
-            other = member.select("band", F.col("u").alias("v"), F.col("g_u").alias("g_v"))
-            left = member.join(other, "band").where("g_u < g_v").select("u", "v").distinct()
-            left = _similar_signatures(with_sigs(left), percent)
-        links = written(links.union(_confirmed(docs, written(left.select("u", "v")), percent)))
+    long = None
+    for only_best in (True, False):
+        groups = connected_components(links).select(F.col("node").alias("u"), F.col("component").alias("g"))
+        member = written(shared.withColumnRenamed("node", "u").join(groups, "u", "left").select("band", "u", F.coalesce("g", "u").alias("g")))
+        open_ = member.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("band")
+        member = member.join(open_, "band", "left_semi")
+        if long is None:
+            ids = written(member.select(F.col("u").alias("doc_id")).distinct())
+            long = written(_long_signatures(docs.join(small(ids), "doc_id", "left_semi")))
+        member = member.join(long, "u").join(reps.select(F.col("doc_id").alias("u"), "bands"), "u")
+        left = _between_groups(written(member), percent, only_best)
+        links = written(links.union(_confirmed(docs, written(left), percent)))
 
     groups = written(connected_components(links.union(copies)))
     out = seen.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
