@@ -98,8 +98,11 @@ def canonical(text: Column) -> Column:
     folded = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ς"), F.lit("σ"))
     cluster = F.regexp_extract_all(folded, F.lit(r"(?s)\P{M}[\p{M}ᅠ-ᇿ]*|[\p{M}]+"), F.lit(0))
     odd = _unicode_tables()[3]
-    normal = F.when(folded.rlike(odd), F.array_join(F.transform(cluster, lambda c: F.when(c.rlike(odd), _composed(c)).otherwise(c)), "")).otherwise(folded)
-    return F.trim(F.regexp_replace(normal, rf"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]", " "))
+    # nothing below U+0300 needs normalising; testing for that first spares most texts the long class
+    normal = F.when(folded.rlike(r"[^\x00-\x{2FF}]") & folded.rlike(odd), F.array_join(F.transform(cluster, lambda c: F.when(c.rlike(odd), _composed(c)).otherwise(c)), "")).otherwise(folded)
+    plain = F.regexp_replace(normal, r"[ \t-\r\x1C-\x1F]{2,}|[\t-\r\x1C-\x1F]", " ")
+    wide = F.regexp_replace(normal, rf"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]", " ")
+    return F.trim(F.when(normal.rlike(r"[\x85\xA0\x{1680}-\x{3000}]"), wide).otherwise(plain))
 
 
 def wide_hash(text: Column, bits: int = 64) -> Column:
