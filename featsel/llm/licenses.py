@@ -71,8 +71,9 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     template (license, text) that it holds.
 
     Texts and templates are cut into overlapping windows of four shingles. A window's bands (one minimum hash
-    each) retrieve the templates that have a window with an equal band; windows without any such
-    band are filtered by the set of the templates' hashes before the equi-join. What is retrieved is verified: the share of
+    each) retrieve the templates that have a window with an equal band; windows that
+    hold no shingle of any template, which no band can be equal in, are filtered out before the bands
+    are computed (if the templates have 20,000 shingles at most). What is retrieved is verified: the share of
     the template's distinct shingles that occur within its own length around the window must be at
     least `containment`. Returned are the largest share and the first word (from 0) of the first
     match.
@@ -87,12 +88,19 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     pairs = F.array(*[F.struct(F.lit(i).alias("band"), m.alias("value")) for i, m in enumerate(hashes)])
     bands = written(windows(known, ["license"]).select("license", F.inline(pairs)).distinct())
 
-    found = windows(docs.select(*[v.alias(k) for k, v in key.items()], shingles(F.col("text")).alias("sh")), ["k", "h"])
-    if bands.limit(20_001).count() <= 20_000:  # few templates: their hashes go into the filter
-        sets: dict[int, list[int]] = {i: [] for i in range(BANDS)}
-        for b, v in bands.select("band", "value").distinct().collect():
-            sets[b].append(v)
-        found = found.where(F.greatest(*[m.isin(sets[i]) for i, m in enumerate(hashes)]))
+    # exploding a single value keeps the shingles from being computed again by every later filter
+    cut = docs.select(*[v.alias(k) for k, v in key.items()], F.explode(F.array(shingles(F.col("text")))).alias("sh"))
+    can = known.select(F.explode("sh").alias("s")).distinct()
+    few = can.limit(20_001).count() <= 20_000
+    if few:
+        # A minimum hash is a bijection of the shingle that attains it, so a band can only be equal where
+        # the window holds one of the templates' shingles: nothing that the bands would retrieve is lost.
+        at = [r["s"] for r in can.collect()]
+        cut = cut.where(F.arrays_overlap("sh", F.array(*map(F.lit, at)).cast("array<bigint>")))
+    found = windows(cut, ["k", "h"])
+    if few:
+        held = [F.coalesce(F.col(f"s{i}").isin(at), F.lit(False)) for i in range(WINDOW)]
+        found = found.where(F.greatest(*held))
     found = found.select("k", "h", "j", F.inline(pairs)).join(bands, ["band", "value"]).select("k", "h", "j", "license").distinct()
     found = written(found)
 
