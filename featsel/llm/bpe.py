@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -81,11 +82,12 @@ class Vocabulary:
         self.ids = list(ranks.values())
         self.hash = PerfectHash(self.tokens)
         self.byte = [ranks[bytes([i])] for i in range(256)]
-        #: (left id, right id) -> id of what they merge into; ids rank the merges.
-        self.merge = {
-            ranks[t[:k]] << 32 | ranks[t[k:]]: r
-            for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
-        }
+        #: left id -> right id -> id of what they merge into; ids rank the merges.
+        self.merge: list[dict[int, int]] = [{} for _ in range(max(self.ids) + 1)]
+        for t, r in ranks.items():
+            for k in range(1, len(t)):
+                if t[:k] in ranks and t[k:] in ranks:
+                    self.merge[ranks[t[:k]]][ranks[t[k:]]] = r
 
     def whole(self, piece: bytes) -> int:
         """Id of bytes that are in the vocabulary, else -1."""
@@ -98,20 +100,20 @@ class Vocabulary:
         ids = [self.byte[b] for b in piece]
         n, merge = len(ids), self.merge
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := merge.get(ids[i] << 32 | ids[i + 1])) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := merge[ids[i]].get(ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n or merge.get(ids[i] << 32 | ids[j]) != r:
+            if ids[i] < 0 or j >= n or merge[ids[i]].get(ids[j]) != r:
                 continue
             ids[i], ids[j] = r, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (x := merge.get(r << 32 | ids[k])) is not None:
+                if (x := merge[r].get(ids[k])) is not None:
                     heapq.heappush(heap, (x, i))
-            if (h := before[i]) >= 0 and (x := merge.get(ids[h] << 32 | r)) is not None:
+            if (h := before[i]) >= 0 and (x := merge[ids[h]].get(r)) is not None:
                 heapq.heappush(heap, (x, h))
         return [x for x in ids if x >= 0]
 
@@ -145,20 +147,28 @@ class _Pieces(dict):
 
     def __init__(self, vocabulary: Vocabulary, most: int):
         self.vocabulary, self.most, self.old = vocabulary, most, {}
+        self.tokens: dict[str, bytes] = {}
         self.match = regex.compile(vocabulary.pattern).findall
 
+    def _ids(self, piece: str) -> bytes:
+        """Ids of one pre-token; stretches that differ in punctuation share theirs."""
+        found = self.tokens.get(piece)
+        if found is None:
+            if len(self.tokens) >= self.most:
+                self.tokens.clear()
+            data = piece.encode()
+            whole = self.vocabulary.whole(data)
+            found = array("i", [whole] if whole >= 0 else self.vocabulary.merged(data)).tobytes()
+            self.tokens[piece] = found
+        return found
+
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         found = self.old.get(stretch)
         if found is None:
-            ids: list[int] = []
-            for piece in self.match(stretch):
-                piece = piece.encode()
-                whole = self.vocabulary.whole(piece)
-                ids += [whole] if whole >= 0 else self.vocabulary.merged(piece)
-            found = np.array(ids, np.int32).tobytes()
+            found = b"".join(map(self._ids, self.match(stretch)))
         self[stretch] = found
         return found
 
