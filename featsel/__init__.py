@@ -1,0 +1 @@
+"""Feature selection on large tables with Spark."""

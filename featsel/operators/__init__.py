@@ -1,0 +1 @@
+"""Statistics, objective, search, preparation, evaluation and positions."""
