@@ -78,7 +78,8 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     least `containment`. Returned are the largest share and the first word (from 0) of the first
     match.
 
-    A null text, or one of under five words, holds nothing; nor does a template of under five words match.
+    A null text, or one of under five words, holds nothing; nor does a template of under five words match
+    (`short_notices.scan_all` finds those too).
     Rows that share a doc_id or have a null one are matched each by its own text and returned each;
     identical rows are returned as often as they come. Empty tables give no rows; other columns are ignored."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -15,7 +15,7 @@ MODULES = {
     "op7_bpe": "bpe",
     "op8_fingerprints": "fingerprints",
     "op9_substring_dedup": "substring_dedup",
-    "op10_license_scans": "licenses",
+    "op10_license_scans": "short_notices",
 }
 
 
