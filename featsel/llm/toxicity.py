@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +22,8 @@ WINDOW, STEP = 32, 24
 TRIGRAMS, EMBED, STATE = 4096, 8, 6
 #: Score from which a text is predicted toxic.
 TOXIC = 0.7
+#: Bytes of a word that its trigrams are made of; a longer run without blanks is cut into pieces.
+LONGEST = 40
 _EDGE = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
@@ -26,6 +32,38 @@ def plain(word: bytes) -> bytes:
     return word.strip(_EDGE).lower()
 
 
+@lru_cache
+def _between() -> re.Pattern:
+    """Runs of blanks, controls and punctuation of Unicode and of ASCII signs (without apostrophes)."""
+    apart = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Cc", "Zs", "Zl", "Zp", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po") or c in "$+<=>^`|~"]
+    return re.compile("[" + re.escape("".join(c for c in apart if c not in "'\u2019")) + "]+")
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A run without blanks as steps of the network: itself, if its plain form has LONGEST bytes at most; else its parts between
+    Unicode blanks and punctuation, those that are still longer cut into consecutive ones of whole characters."""
+    core = plain(word)
+    if len(core) <= LONGEST:
+        return [word]
+    out = []
+    parts = [x.encode("utf-8", "surrogateescape") for x in _between().split(core.decode("utf-8", "surrogateescape")) if x]
+    for part in parts or [core]:
+        while len(part) > LONGEST:
+            k = next((k for k in range(LONGEST, LONGEST - 4, -1) if part[k] & 0xC0 != 0x80), LONGEST)
+            out.append(part[:k])
+            part = part[k:]
+        out.append(part)
+    return out
+
+
+def steps(text: bytes) -> list[bytes]:
+    """The steps of a text: its words at ASCII blanks, long ones in pieces, so that all of it is read."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [x for w in words for x in (pieces(w) if len(w) > LONGEST else (w,))]
+
+
 def windows(n: int) -> np.ndarray:
     """First words of the overlapping windows of a text of n words (the last one may end early)."""
     return np.arange(0, max(1, n - (WINDOW - STEP)), STEP) if n else np.empty(0, np.int64)
@@ -33,8 +71,8 @@ def windows(n: int) -> np.ndarray:
 
 def trigram_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed rows of every word's character trigrams (with borders), and where each word's start."""
-    flat = np.frombuffer(b"".join(b"^" + w[:40] + b"$$" for w in words), np.uint8).astype(np.uint32)
-    ends = np.cumsum([min(len(w), 40) + 3 for w in words])
+    flat = np.frombuffer(b"".join(b"^" + w[:LONGEST] + b"$$" for w in words), np.uint8).astype(np.uint32)
+    ends = np.cumsum([min(len(w), LONGEST) + 3 for w in words])
     code = flat[:-2] * np.uint32(65599) + flat[1:-1] * np.uint32(257) + flat[2:]
     code = (code * np.uint32(2654435761)) >> np.uint32(20)
     keep = np.ones(len(code), bool)
@@ -180,7 +218,7 @@ class Scorer:
 
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of all windows, and the text that each belongs to."""
-        words = [t.split() for t in texts]
+        words = [steps(t) for t in texts]
         rows = self._rows([w for ws in words for w in ws])
         first, who, end, at = [], [], [], 0
         for i, ws in enumerate(words):
@@ -212,7 +250,7 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 0, rounds: int = 3,
     texts, later rounds the window that scores highest (texts whose best stays low count as
     mislabelled); other windows come from the rest, random ones and those that score highest."""
     rng = np.random.default_rng(seed)
-    words = [[plain(w) for w in t.split()] for t in texts]
+    words = [[plain(w) for w in steps(t)] for t in texts]
     y = np.array(toxic)
     df = [{}, {}]
     for ws, label in zip(words, y):
@@ -287,7 +325,8 @@ def held_out(doc_id) -> F.Column:
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """`docs` with toxicity_score and predicted (1 from a score of 0.7), each from its whole text.
 
-    A null or blank text scores 0. Texts of any length are scored, in all their overlapping windows. Columns of
+    A null or blank text scores 0. Texts of any length are scored, in all their overlapping windows, and words of
+    any length are read to their end (in pieces, see `steps`). Columns of
     these names are replaced; an empty table gives no rows."""
     names = [c for c in docs.columns if c not in ("toxicity_score", "predicted")]
     sent, at = docs.sparkSession.sparkContext.broadcast(net), names.index("text")
