@@ -1,4 +1,4 @@
-"""Reading tables of text values, and synthetic tables of any size."""
+"""Reading tables of text values."""
 
 from __future__ import annotations
 
@@ -35,11 +35,26 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
+def _is_document(spark: SparkSession, path: str) -> bool:
+    """Whether JSON is one whole document and not an object a line."""
+    import json
+
+    lines = [line for (line,) in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    try:
+        row = json.loads(lines[0]) if lines else {}
+    except ValueError:
+        return True
+    listed = isinstance(row, dict) and row and (any(isinstance(row.get(k), list) for k in ("records", "rows", "data", "items")) or all(isinstance(v, list) for v in row.values()))
+    return not isinstance(row, dict) or len(lines) == 1 and bool(listed)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """By the path's suffix: parquet, orc, jsonl or delimited text; .xls is refused."""
+    """By the path's suffix: parquet, orc, jsonl or delimited text; .xls and whole JSON documents are refused."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "xls":
         raise ValueError("the old binary workbook format isn't supported")
+    if kind == "json" and _is_document(spark, path):
+        raise ValueError("whole JSON documents aren't supported, only one object a line")
     if kind in ("parquet", "orc"):
         return getattr(spark.read, kind)(path)
     return read_json_lines(spark, path) if kind in ("jsonl", "ndjson", "json") else read_delimited(spark, path)
