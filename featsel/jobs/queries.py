@@ -168,6 +168,12 @@ def _(read):
     return out.select("doc_id", "length", F.round("digit_share", 6).alias("digit_share"))
 
 
+@_query("p7_text_measures_words")
+def _(read):
+    """All four measures of whole texts, so that none is pruned."""
+    return text.text_measures(read("documents").select("doc_id", "text"), "text").drop("text")
+
+
 @_query("a1_median_fill", "with m as (select median(o_totalprice) filter (o_orderstatus <> 'F') as v from orders) select o_orderkey, round(case when o_orderstatus <> 'F' then o_totalprice else v end, 6) as price from orders, m")
 def _(read):
     df = read("orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("price"))
@@ -189,6 +195,12 @@ def _(read):
     return prepare.document_frequency(df, "t")
 
 
+@_query("a4_document_frequency_texts")
+def _(read):
+    """Document frequency of every token of the whole texts."""
+    return prepare.document_frequency(read("documents"), "text")
+
+
 @_query("i1_profile", """with x as (select count(*) as n, avg(length(c_name)) as a, avg(length(c_mktsegment)) as b from customer)
 select 'c_name' as name, n as n_rows, n as present, 0::bigint as numeric, 0::bigint as dates, 1.0::double as avg_words, round(a, 6) as avg_length from x
 union all select 'c_mktsegment', n, n, 0, 0, 1.0, round(b, 6) from x union all select 'c_nationkey', n, n, n, 0, 1.0, (select round(avg(length(c_nationkey::varchar)), 6) from customer) from x""")
