@@ -117,33 +117,77 @@ def edited_text(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - k), F.substring(other, F.lit(1), k))
 
 
-def with_next(docs: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
-    """`docs` (with doc_id) plus next_<c> for each c of `carry`: its value in the next row in descending order
-    of doc_id (null last) and the `order` columns; the last row's next is the first.
+def _blocks(docs: DataFrame, order: str) -> DataFrame:
+    """`docs` with _block, a struct that grows with (doc_id, `order`), null doc_id first.
 
-    Rows are cut into ranges of doc_id at its quantiles, so each task sorts one range; the first row of a
-    range is also sent, once more, to the range that comes before it. Nothing is sorted as a whole."""
+    Rows are cut at quantiles of doc_id. A doc_id (or null) of more rows than a block is cut out of its range, and
+    then into equal ranges of `order`, a 64-bit hash."""
     n = docs.count()
     ranges = max(1, min(BLOCKS, n // BLOCK_ROWS))
-    value = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    cuts = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [k / ranges for k in range(1, ranges)] or [0.5], 10 * ranges)).first()[0] or []))
-    if ranges == 1 or not cuts:
-        docs = docs.withColumn("_block", F.lit(0.0))
-    else:
-        split = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_value", outputCol="_block")
-        docs = split.transform(docs.withColumn("_value", value)).drop("_value")
-    first = F.max(F.struct("doc_id", *order)).alias("_first")
-    heads = written(docs.groupBy("_block").agg(first))  # one row a range: BLOCKS at most
-    down = Window.orderBy(F.desc("_block"))
-    last = heads.agg(F.max("_block").alias("top"), F.min("_block").alias("low")).first()
-    heads = heads.withColumn("_to", F.coalesce(F.lag("_block").over(down), F.lit(last["low"]).cast("double")))
-    same = F.struct("doc_id", *order).eqNullSafe(F.col("_first"))
+    if ranges == 1:
+        return docs.withColumn("_block", F.struct(F.lit(0).alias("range"), F.lit(0).alias("part"), F.lit(0).alias("piece")))
+    most = max(BLOCK_ROWS, n // BLOCKS)
+    double = F.col("doc_id").cast("double")
+    cuts = docs.agg(F.percentile_approx(double, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
+    heavy = written(docs.groupBy("doc_id").count().where(F.col("count") > most))  # BLOCKS rows at most
+    cuts = sorted({*cuts, *(r[0] for r in heavy.select(double).dropna().collect())}) or [0.0]
+    split = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_value", outputCol="_range")
+    ranged = lambda df: split.transform(df.withColumn("_value", F.coalesce(double, F.lit(0.0)))).withColumn(
+        "_range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_range").cast("int"))
+    ).drop("_value")
+    one = F.struct(F.col("doc_id").alias("id"), F.ceil(F.col("count") / most).cast("int").alias("pieces"))
+    heavy = ranged(heavy).groupBy("_range").agg(F.collect_list(one).alias("_heavy"))
+    out = ranged(docs).join(F.broadcast(heavy), "_range", "left")
+    # below the first heavy doc_id of a range 0, at it 1, between it and the second 2, ...
+    upto = lambda f: F.coalesce(F.size(F.filter("_heavy", f)), F.lit(0))
+    part = F.when(F.col("_heavy").isNull() | F.col("doc_id").isNull(), 0).otherwise(upto(lambda x: x["id"] <= F.col("doc_id")) + upto(lambda x: x["id"] < F.col("doc_id")))
+    pieces = F.filter("_heavy", lambda x: x["id"].eqNullSafe(F.col("doc_id")))
+    pieces = F.coalesce(F.get(pieces, F.lit(0))["pieces"], F.lit(1))
+    piece = F.least(F.floor((F.col(order) / F.lit(2.0**64) + 0.5) * pieces).cast("int"), pieces - 1)
+    block = F.struct(F.col("_range").alias("range"), part.alias("part"), F.when(pieces > 1, piece).otherwise(0).alias("piece"))
+    return out.withColumn("_block", block).drop("_range", "_heavy")
+
+
+def _without_copies(docs: DataFrame, order: str) -> tuple[DataFrame, DataFrame | None]:
+    """`docs` with one row for every text of a (doc_id, `order`) that has more than BLOCK_ROWS rows, and the copies
+    left out (None if there are none). Copies are made anew, at most BLOCK_ROWS a row, so no task gets all."""
+    ids = docs.groupBy("doc_id").count().where(F.col("count") > BLOCK_ROWS).select("doc_id")
+    ids = small(written(ids.withColumnRenamed("doc_id", "_id")))
+    some = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keys = written(some.groupBy("doc_id", order).count().where(F.col("count") > BLOCK_ROWS).select(F.col("doc_id").alias("_id"), F.col(order).alias("_o")))
+    if keys.isEmpty():
+        return docs, None
+    keys = small(keys)
+    is_key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(order) == F.col("_o"))
+    ones = written(docs.join(keys, is_key, "left_semi").groupBy(*docs.columns).agg(F.count("*").alias("_n")))
+    rest = docs.join(keys, is_key, "left_anti")
+    parts = ones.where("_n > 1").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 2) / BLOCK_ROWS))))
+    parts = parts.withColumn("_n", F.least(F.lit(BLOCK_ROWS).cast("long"), F.col("_n") - 1 - F.col("_part") * BLOCK_ROWS)).repartition("doc_id", order, "_part")
+    copies = parts.withColumn("_part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return rest.unionByName(ones.drop("_n")), copies.select(*docs.columns)
+
+
+def with_next(docs: DataFrame, order: str, carry: list[str]) -> DataFrame:
+    """`docs` (with doc_id) plus next_<c> for each c of `carry`: its value in the next row in descending order
+    of doc_id (null last) and `order`, a 64-bit hash of the row; the last row's next is the first.
+
+    Rows are cut into ranges of (doc_id, `order`), so each task sorts one range; the first row of a
+    range is also sent, once more, to the range that comes before it. Nothing is sorted as a whole. Of more than
+    BLOCK_ROWS equal rows one takes part; each of the others has its equal as the next."""
+    docs, copies = _without_copies(docs, order)
+    columns = docs.columns
+    docs = _blocks(docs, order)
+    first = F.max(F.struct("doc_id", order)).alias("_first")
+    heads = written(docs.groupBy("_block").agg(first))  # one row a range
+    down, whole = Window.orderBy(F.desc("_block")), Window.partitionBy(F.lit(1))
+    heads = heads.withColumn("_to", F.coalesce(F.lag("_block").over(down), F.min("_block").over(whole)))
+    same = F.struct("doc_id", order).eqNullSafe(F.col("_first"))
     rows = docs.join(F.broadcast(heads), "_block")
     rows = rows.withColumn("_to", F.when(same, F.array("_block", "_to")).otherwise(F.array("_block")))
-    rows = rows.select(*[c for c in docs.columns if c != "_block"], F.posexplode("_to").alias("_again", "_block"))
-    each = Window.partitionBy("_block").orderBy("_again", F.desc_nulls_last("doc_id"), *map(F.desc, order))
-    out = rows.withColumns({f"next_{c}": F.lead(c).over(each) for c in carry}).where("_again = 0")
-    return out.drop("_again", "_block")
+    rows = rows.select(*columns, F.posexplode("_to").alias("_again", "_block"))
+    each = Window.partitionBy("_block").orderBy("_again", F.desc_nulls_last("doc_id"), F.desc(order))
+    out = rows.withColumns({f"next_{c}": F.lead(c).over(each) for c in carry}).where("_again = 0").drop("_again", "_block")
+    return out if copies is None else out.unionByName(copies.withColumns({f"next_{c}": F.col(c) for c in carry}))
 
 
 def fingerprints(docs: DataFrame, bits: int = 64) -> DataFrame:
@@ -162,7 +206,7 @@ def fingerprints(docs: DataFrame, bits: int = 64) -> DataFrame:
     counts as empty; an empty table gives no rows; other columns are ignored."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = with_next(docs.withColumn("f", wide_hash(canonical(F.col("text")), bits)), ["h"], ["text", "f", "h", "doc_id"])
+    rows = with_next(docs.withColumn("f", wide_hash(canonical(F.col("text")), bits)), "h", ["text", "f", "h", "doc_id"])
     edited = edited_text(F.col("text"), F.col("next_text"))
     rows = rows.withColumn("edited", edited)
     base = written(
