@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import sys
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Texts that count as missing, after stripping and in lower case.
 MISSING = ("", "?", "n/a", "na", "nan", "none", "null")
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Words that say nothing about a text.
+STOP_WORDS = ("and", "are", "but", "for", "from", "has", "have", "into", "not", "that", "the", "this", "was", "were", "with", "your")
+#: A word: letters, digits, _, ' and -, from a word boundary to a word boundary.
+WORD = r"(?U)\b[\w'-]+\b"
+_NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*%?$"
+
+
+@lru_cache
+def _white() -> str:
+    """The characters of Unicode that count as white space."""
+    return "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 
 
 def stripped(c: Column) -> Column:
     """Without white space (Unicode's) at the ends; null is the empty text."""
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(_white()))
 
 
 def is_missing(c: Column) -> Column:
@@ -22,11 +35,9 @@ def is_missing(c: Column) -> Column:
 
 def as_number(c: Column) -> Column:
     """The number a text stands for: thousands commas dropped, a trailing % divides by 100; null if it is none."""
-    plain = F.regexp_replace(stripped(c), ",", "")
-    percent = plain.endswith("%")
-    digits = F.when(percent, F.regexp_replace(plain, r"\s*%$", "")).otherwise(plain)
-    value = F.when(digits.rlike(_NUMBER), digits.try_cast("double"))
-    value = F.when(percent, value * 0.01).otherwise(value)
+    plain = F.replace(stripped(c), F.lit(","), F.lit(""))
+    value = F.nullif(F.regexp_extract(plain, _NUMBER, 1), F.lit("")).try_cast("double")
+    value = F.when(plain.endswith("%"), value * 0.01).otherwise(value)
     return F.when(F.abs(value) < float("inf"), value)
 
 
@@ -52,25 +63,38 @@ def as_days(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words of a text in lower case: runs of letters, digits, _, ' and -."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b[\w'-]+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+@lru_cache
+def digits() -> str:
+    """The characters that count as digits, for a character class: decimal digits of every script, and raised, lowered and circled ones."""
+    more = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit() and not c.isdecimal()]
+    return r"\p{Nd}" + "".join(rf"\x{{{ord(c):X}}}" for c in more)
+
+
+def keywords(words: Column) -> Column:
+    """Of the words of a text those that can become indicators, each once: three characters at least, no stop word, not all digits."""
+    fit = lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS) & ~w.rlike(f"^[{digits()}]+$")
+    return F.filter(F.array_distinct(words), fit)
 
 
 def text_measures(df: DataFrame, column: str) -> DataFrame:
-    """Adds length, words (count), variety (distinct words / words) and digit share of a text."""
+    """Adds length, words (count), variety (distinct words / words) and digit share of a text; null counts as empty."""
     text, words = F.coalesce(F.col(column), F.lit("")), F.size("_tokens")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return df.withColumn("_tokens", tokens(F.col(column))).withColumns({
         "length": F.length(text).cast("double"),
         "words": words.cast("double"),
         "variety": share(F.size(F.array_distinct("_tokens")), words),
-        "digit_share": share(F.length(F.regexp_replace(text, "[^0-9]", "")), F.length(text)),
+        "digit_share": share(F.length(F.regexp_replace(text, f"[^{digits()}]", "")), F.length(text)),
     }).drop("_tokens")
 
 
 def display_name(c: Column) -> Column:
-    """Runs of _ and - become a space; the first letter is upper case."""
-    name = F.trim(F.regexp_replace(c, "[_-]+", " "))
-    return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
+    """Runs of _ and - become a space; the first letter is upper case. Nothing left, or null: the selected target."""
+    name = stripped(F.regexp_replace(c, "[_-]+", " "))
+    return F.when(name == "", F.lit("the selected target")).otherwise(F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name))))
 
 
 def clean_headers(names: list[str]) -> list[str]:
@@ -85,13 +109,36 @@ def clean_headers(names: list[str]) -> list[str]:
     return out
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_text(f: T.StructField) -> Column:
+    """A column as stripped text: null is empty, booleans true or false, nested values JSON with sorted keys of maps and structs."""
+    c = named(f.name)
+    if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+        c = F.to_json(_sorted(c, f.dataType))
+    return stripped(c)
+
+
+def _sorted(c: Column, kind: T.DataType) -> Column:
+    """A nested value with the fields of its structs and the entries of its maps in the order of their keys."""
+    if isinstance(kind, T.StructType):
+        out = F.struct(*[_sorted(c[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)])
+        return F.when(c.isNotNull(), out)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.transform(F.array_sort(F.map_keys(c)), lambda k: F.struct(k, _sorted(F.element_at(c, k), kind.valueType))))
+    return c
+
+
 def to_text_records(df: DataFrame) -> DataFrame:
-    """Every column as stripped text: null is empty, booleans true or false, nested values JSON."""
-    nested = (T.StructType, T.ArrayType, T.MapType)
-    one = lambda f: F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")
-    return df.select([stripped(one(f)).alias(f.name) for f in df.schema])
+    """Every column as stripped text: null is empty, booleans true or false, nested values JSON with sorted keys."""
+    return df.select([as_text(f).alias(f.name) for f in df.schema])
 
 
 def drop_blank_records(df: DataFrame) -> DataFrame:
     """Rows with at least one non-blank field."""
-    return df.where(F.exists(F.array(*[stripped(F.col(f"`{c}`")) for c in df.columns]), lambda x: x != ""))
+    return df.where(F.exists(F.array(*[stripped(named(c)) for c in df.columns]), lambda x: x != ""))

@@ -37,15 +37,33 @@ def assign_folds(df: DataFrame, folds: int, seed: int, id_col: str, label: str |
     return positions(rows, "_class", "_key").withColumn("fold", F.pmod(F.col("position") - 1, F.lit(folds)).cast("int")).drop("_key", "_class", "position")
 
 
-def validation_sample(df: DataFrame, n: int, seed: int, id_col: str, label: str) -> DataFrame:
-    """At most `n` rows, stratified by `label`: quotas by largest remainder, at least one row a class."""
-    rows = df.withColumn("_key", order_key(seed, id_col))
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))  # one row a class
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    share = sizes.join(F.broadcast(total)).withColumn("_exact", F.lit(n) * F.col("_n") / F.col("_total"))
-    share = share.withColumn("_base", F.greatest(F.lit(1), F.floor("_exact")))
-    left = F.lit(n) - F.sum("_base").over(Window.partitionBy(F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("_exact") - F.floor("_exact")), label))
-    quota = share.select(F.col(label).alias("_c"), F.when(F.col("_total") <= n, F.col("_n")).otherwise(F.col("_base") + (rank <= left).cast("int")).alias("_quota"))
-    rows = positions(rows, label, "_key")
-    return rows.join(quota, rows[label] == quota["_c"]).where("position <= _quota").drop("_key", "_c", "_quota", "position")
+def quotas(sizes: dict, n: int) -> dict:
+    """How many of the rows of each class (class -> rows) a sample of `n` rows takes: its share rounded down, but one at the
+    least; then one more for the class that is furthest below its share (ties: the larger one) until there are n, or one less
+    for the class furthest above it (ties: the larger quota) while there are too many."""
+    total = sum(sizes.values())
+    if total <= n:
+        return dict(sizes)
+    exact = {c: n * k / total for c, k in sizes.items()}
+    out = {c: min(k, max(1, int(exact[c]))) for c, k in sizes.items()}
+    while sum(out.values()) < n and (open_ := [c for c in out if out[c] < sizes[c]]):
+        out[max(open_, key=lambda c: (exact[c] - out[c], sizes[c]))] += 1
+    while sum(out.values()) > n and (open_ := [c for c in out if out[c] > 1]):
+        out[max(open_, key=lambda c: (out[c] - exact[c], out[c]))] -= 1
+    return out
+
+
+def validation_sample(df: DataFrame, n: int, seed: int, id_col: str, label: str | None = None, classes: int = 10_000) -> DataFrame:
+    """At most `n` rows: the first ones in hash order, with `label` of each class as many as its quota (see `quotas`).
+    The sizes of the classes, at most `classes` of them, come to the driver; more are an error."""
+    if not label:
+        return sample_rows(df, n, seed, id_col)
+    found = df.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).limit(classes + 1).collect()
+    if len(found) > classes:
+        raise ValueError(f"a stratified sample takes {classes} classes at the most")
+    if not found:
+        return df
+    each = quotas({r[0]: r["n"] for r in found}, n)
+    quota = df.sparkSession.createDataFrame([(c, k) for c, k in each.items()], f"_c {df.schema[label].dataType.simpleString()}, _quota long")
+    rows = positions(df.withColumn("_key", order_key(seed, id_col)), label, "_key")
+    return rows.join(F.broadcast(quota), rows[label].eqNullSafe(quota["_c"])).where("position <= _quota").drop("_key", "_c", "_quota", "position")

@@ -7,12 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Effort: (reads, sweeps).
+# Effort as (reads, sweeps).
 QUALITY = {"fast": (10, 110), "balanced": (22, 210), "deep": (40, 340)}
+#: About so many checkpoints of a run are traced.
+CHECKPOINTS = 48
 
 
-def _anneal(q: np.ndarray, k: int, sweeps: int, rng: np.random.Generator) -> tuple[list[int], float]:
-    """Swap one chosen for one other feature at a time; the size stays k. Returns the best set seen."""
+def _anneal(q: np.ndarray, k: int, sweeps: int, rng: np.random.Generator) -> tuple[list[int], float, list[tuple[int, float]]]:
+    """Swap one chosen for one other feature at a time; the size stays k. Returns the best set seen, its energy, and the best energy so
+    far after some of the sweeps."""
     n = len(q)
     sym = q + q.T - np.diag(np.diag(q))
     x = np.zeros(n, bool)
@@ -20,10 +23,8 @@ def _anneal(q: np.ndarray, k: int, sweeps: int, rng: np.random.Generator) -> tup
     off = sym - np.diag(np.diag(sym))
     energy = lambda v: float(np.diag(q)[v].sum() + off[np.ix_(v, v)].sum() / 2)
     e = energy(x)
-    best, low = x.copy(), e
-    if k == n:
-        return np.flatnonzero(best).tolist(), low
-    for t in np.geomspace(1.0, 0.005, sweeps):
+    best, low, trace, every = x.copy(), e, [(0, e)], max(1, sweeps // CHECKPOINTS)
+    for sweep, t in enumerate(np.geomspace(1.0, 0.005, sweeps) if k < n else [], 1):
         for _ in range(k):
             i, j = rng.choice(np.flatnonzero(x)), rng.choice(np.flatnonzero(~x))
             row = off[:, x].sum(axis=1)
@@ -33,26 +34,70 @@ def _anneal(q: np.ndarray, k: int, sweeps: int, rng: np.random.Generator) -> tup
                 e += d
                 if e < low - 1e-12:
                     best, low = x.copy(), e
-    return np.flatnonzero(best).tolist(), energy(best)
+        if sweep % every == 0 or sweep == sweeps:
+            trace.append((sweep, low))
+    return np.flatnonzero(best).tolist(), energy(best), trace
 
 
-def search(spark: SparkSession, terms: DataFrame, k: int, reads: int, sweeps: int, seed: int = 42, constant: float = 0.0) -> DataFrame:
-    """read, selected, energy for every run. A run's random numbers depend on (seed, k, read) alone, never on
-    the partition. `terms` is as large as the number of features squared and goes to every task."""
-    rows = terms.collect()
-    n = 1 + max(r["j"] for r in rows)
-    q = np.zeros((n, n))
-    for r in rows:
-        q[r["i"], r["j"]] = r["coeff"]
+def repaired(selected: list[int], q: np.ndarray, k: int) -> list[int]:
+    """A set made into one of size k: the feature whose change costs least is taken out or put in, one at a time."""
+    sym, x = q + q.T - np.diag(np.diag(q)), set(selected)
+    cost = lambda i: sym[i, i] + sum(sym[i, j] for j in x if j != i)
+    while len(x) > k:
+        x.remove(max(sorted(x), key=cost))
+    while len(x) < k:
+        x.add(min((i for i in range(len(q)) if i not in x), key=cost))
+    return sorted(x)
+
+
+_RUN = "k int, read long, selected array<int>, energy double, feasible boolean, trace array<struct<sweep:int,energy:double>>"
+
+
+def search_all(spark: SparkSession, jobs: list[tuple[int, np.ndarray, float, int, int, int]]) -> DataFrame:
+    """All runs of several searches in one job. jobs: (k, terms as an upper triangular matrix, constant, reads, sweeps, seed) with
+    different k. Returns k, read, selected, energy, feasible (size k), trace (sweep, best energy so far) for every run.
+
+    A run's random numbers depend on (seed, k, read) alone, never on the partition. The matrices are as large as the
+    number of features squared and go to every task."""
+    of = {k: rest for k, *rest in jobs}
+    runs = [(k, read) for k, _, _, reads, _, _ in jobs for read in range(reads)]
 
     def run(batches):
         for pdf in batches:
-            found = [_anneal(q, k, sweeps, np.random.default_rng([seed, k, int(i)])) for i in pdf["id"]]
-            yield pd.DataFrame({"read": pdf["id"], "selected": [s for s, _ in found], "energy": [e + constant for _, e in found]})
+            out = []
+            for i in pdf["id"]:
+                k, read = runs[int(i)]
+                q, constant, _, sweeps, seed = of[k]
+                chosen, low, trace = _anneal(q, k, sweeps, np.random.default_rng([seed, k, read]))
+                feasible = len(chosen) == k
+                out.append((k, read, chosen if feasible else repaired(chosen, q, k), low + constant, feasible, [{"sweep": a, "energy": b + constant} for a, b in trace]))
+            yield pd.DataFrame(out, columns=["k", "read", "selected", "energy", "feasible", "trace"])
 
-    return spark.range(reads).repartition(reads).mapInPandas(run, "read long, selected array<int>, energy double")
+    return spark.range(len(runs)).repartition(max(1, len(runs))).mapInPandas(run, _RUN)
+
+
+def matrix(terms: DataFrame) -> np.ndarray:
+    """Terms (i <= j) as an upper triangular matrix on the driver."""
+    rows = terms.select("i", "j", "coeff").collect()
+    q = np.zeros((1 + max(r["j"] for r in rows),) * 2)
+    for r in rows:
+        q[r["i"], r["j"]] = r["coeff"]
+    return q
+
+
+def search(spark: SparkSession, terms: DataFrame, k: int, reads: int, sweeps: int, seed: int = 42, constant: float = 0.0) -> DataFrame:
+    """read, selected, energy, feasible, trace for every run of one search (see `search_all`)."""
+    return search_all(spark, [(k, matrix(terms), constant, reads, sweeps, seed)]).drop("k")
 
 
 def best_read(runs: DataFrame) -> DataFrame:
     """The run of lowest energy; the first one wins ties."""
     return runs.orderBy(F.round("energy", 9), "read").limit(1)
+
+
+def best_reads(runs: DataFrame) -> DataFrame:
+    """For each k the run of lowest energy (the first one wins ties), with `reads` and `feasible_reads`."""
+    rank = F.struct(F.round("energy", 9), F.col("read"))
+    row = F.struct("read", "selected", "energy", "trace")
+    best = runs.groupBy("k").agg(F.min_by(row, rank).alias("best"), F.count("*").alias("reads"), F.count_if("feasible").alias("feasible_reads"))
+    return best.select("k", "best.*", "reads", "feasible_reads")

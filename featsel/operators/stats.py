@@ -31,13 +31,38 @@ class Moments:
         return c - np.outer(s, s) / max(n, 1)
 
 
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows without null or NaN in any of the (numeric) columns: the only ones that statistics and models read."""
+    return df.dropna(subset=columns)
+
+
+def summed(parts: DataFrame, tasks: int | None = None) -> dict[int, np.ndarray]:
+    """(key int, v array<double>), a few rows a task -> key -> the sum of v. Rows are added up by about the square root of the
+    number of tasks first, so that the driver gets that many and not one a task; in a fixed order, so that results repeat.
+    tasks: how many tasks there are at the most, if that is known (up to 64 are added up by the driver alone)."""
+    if tasks and tasks <= 64:
+        rows = parts.select("key", F.spark_partition_id().alias("g"), "v").toPandas().sort_values(["key", "g"])
+        return {int(k): np.sum(np.stack(g["v"].tolist()), axis=0) for k, g in rows.groupby("key")}
+    groups = max(1, round((tasks or parts.sparkSession.sparkContext.defaultParallelism) ** 0.5))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf.sort_values("p")["v"].tolist())
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "g": pdf["g"].iloc[:1], "v": [v.sum(axis=0).tolist()]})
+
+    keyed = parts.select("key", F.spark_partition_id().alias("p"), "v").withColumn("g", F.pmod("p", F.lit(groups)))
+    rows = keyed.groupBy("key", "g").applyInPandas(add, "key int, g int, v array<double>").toPandas().sort_values(["key", "g"])
+    return {int(k): np.sum(np.stack(g["v"].tolist()), axis=0) for k, g in rows.groupby("key")}
+
+
 def moments(df: DataFrame, columns: list[str], label: str, fold: str | None = None) -> Moments:
-    """One pass over the rows: each task sums its block in numpy, and only (d+1)^2 numbers a task and fold travel.
-    Values are shifted by the columns' means first, for stability; partial sums merge in a fixed order."""
+    """One pass over the rows: each task sums its block in numpy, and only (d+1)^2 numbers a task and fold travel, which are
+    added up in two steps (`summed`). Values are shifted by the columns' means first, for stability. Rows with a null or NaN
+    in any of the columns don't count; without rows all moments are 0."""
     names = [*columns, label]
-    first = df.agg(*[F.avg(c) for c in names]).first()
-    shift = np.array([x if x is not None else 0.0 for x in first], float)
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in names], (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"))
+    rows = complete(rows, names)
+    first = rows.agg(*[F.avg(c) for c in names]).first()
+    shift = np.array([x if x is not None else 0.0 for x in first], float)
 
     def run(batches):
         sums: dict[int, list] = {}
@@ -50,14 +75,11 @@ def moments(df: DataFrame, columns: list[str], label: str, fold: str | None = No
                 s[1] += part.sum(axis=0)
                 s[2] += part.T @ part
         if sums:
-            yield pd.DataFrame([{"fold": k, "n": s[0], "s": s[1].tolist(), "c": s[2].ravel().tolist()} for k, s in sums.items()])
-
-    parts = rows.mapInPandas(run, "fold int, n double, s array<double>, c array<double>").toPandas()
-    parts["order"] = parts["s"].map(tuple)
-    folds = {}
-    for k, g in parts.sort_values(["fold", "n", "order"]).groupby("fold"):
-        c = np.sum(np.stack(g["c"].map(np.array).tolist()), axis=0).reshape(len(names), len(names))
-        folds[int(k)] = (float(g["n"].sum()), np.sum(np.stack(g["s"].map(np.array).tolist()), axis=0), c)
+            yield pd.DataFrame([{"key": k, "v": [s[0], *s[1].tolist(), *s[2].ravel().tolist()]} for k, s in sums.items()])
+
+    d = len(names)
+    parts = summed(rows.mapInPandas(run, "key int, v array<double>"))
+    folds = {k: (float(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d)) for k, v in sorted(parts.items())}
     return Moments(names, shift, folds or {0: (0.0, np.zeros(len(names)), np.zeros((len(names),) * 2))})
 
 
