@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featsel.llm.common import table
+from featsel.llm.common import slices, table
 
 #: Ranks file of the installed tokenizer package that the registered query uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -143,10 +143,11 @@ class Vocabulary:
 
 class _Pieces(dict):
     """Stretch of text -> the int32 bytes of its ids. Holds what was used lately: when it is full,
-    it becomes the older generation, which is asked before a stretch is encoded again."""
+    it becomes the older generation, which is asked before a stretch is encoded again. Stretches of more than
+    `longest` characters are not kept, so that the memory is bounded too."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int):
-        self.vocabulary, self.most, self.old = vocabulary, most, {}
+    def __init__(self, vocabulary: Vocabulary, most: int, longest: int = 64):
+        self.vocabulary, self.most, self.longest, self.old = vocabulary, most, longest, {}
         self.tokens: dict[str, bytes] = {}
         self.match = regex.compile(vocabulary.pattern).findall
 
@@ -154,22 +155,24 @@ class _Pieces(dict):
         """Ids of one pre-token; stretches that differ in punctuation share theirs."""
         found = self.tokens.get(piece)
         if found is None:
-            if len(self.tokens) >= self.most:
-                self.tokens.clear()
             data = piece.encode()
             whole = self.vocabulary.whole(data)
             found = array("i", [whole] if whole >= 0 else self.vocabulary.merged(data)).tobytes()
-            self.tokens[piece] = found
+            if len(piece) <= self.longest:
+                if len(self.tokens) >= self.most:
+                    self.tokens.clear()
+                self.tokens[piece] = found
         return found
 
     def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
         found = self.old.get(stretch)
         if found is None:
             found = b"".join(map(self._ids, self.match(stretch)))
-        self[stretch] = found
+        if len(stretch) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[stretch] = found
         return found
 
 
@@ -187,53 +190,77 @@ def stretches(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, remember: int = 400_000) -> DataFrame:
-    """`docs` with a column `ids` (array<int>): the text's tokens, each match of the vocabulary's
-    pattern encoded by itself, without special tokens. A null text counts as empty: no ids.
-
-    Every pre-token is looked up whole in the minimal perfect hash; one that isn't in the
-    vocabulary is merged by the heap. Texts of any length are encoded whole. `remember` bounds
-    the stretches of text whose ids a task keeps."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    keep = [c for c in docs.columns if c != "ids"]
-    at = keep.index("text")
+def _encoded(vocabulary: Vocabulary, text: int, remember: int):
+    """Function from batches to batches with one more column, the ids of the texts in column number `text`."""
 
     def run(batches):
-        pieces = _Pieces(sent.value, remember)
-        for batch in batches:
+        pieces = _Pieces(vocabulary, remember)
+        for batch in slices(batches):
             flat, n = [], [0]
-            for text in batch.column(at).to_pylist():
-                flat.append(b"".join(map(pieces.__getitem__, stretches(text))) if text else b"")
+            for value in batch.column(text).to_pylist():
+                flat.append(b"".join(map(pieces.__getitem__, stretches(value))) if value else b"")
                 n.append(len(flat[-1]) // 4)
             ids = pa.array(np.frombuffer(b"".join(flat), np.int32))
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum(n), pa.int32()), ids)
-            yield pa.record_batch([*batch.columns, ids], names=[*keep, "ids"])
+            yield pa.record_batch([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+
+    return run
+
+
+def _decoded(vocabulary: Vocabulary, ids: int, most: int = 2_000_000):
+    """Function from batches to batches with one more column, the bytes of the ids in column number `ids`. Rows are
+    decoded together up to `most` ids, so that their bytes have 32-bit offsets whatever the batch."""
+
+    def run(batches):
+        of = vocabulary.decoder()
+        for batch in slices(batches):
+            sizes = batch.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = np.cumsum(sizes) // most
+            for first, last in zip(*(np.searchsorted(parts, np.unique(parts), side) for side in ("left", "right"))):
+                part, n = batch.slice(first, last - first), sizes[first:last]
+                data, each = of(part.column(ids).flatten().to_numpy(zero_copy_only=False))
+                ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])]
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.record_batch([*part.columns, raw], names=[*part.schema.names, "bytes"])
+
+    return run
 
-    docs = docs.select(*keep).withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(run, docs.withColumn("ids", F.array().cast("array<int>")).schema)
+
+def _with_text(docs: DataFrame, *new: str) -> DataFrame:
+    return docs.select(*[c for c in docs.columns if c not in new]).withColumn("text", F.col("text").cast("string"))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, remember: int = 100_000) -> DataFrame:
+    """`docs` with a column `ids` (array<int>): the text's tokens, each match of the vocabulary's
+    pattern encoded by itself, without special tokens. A null text counts as empty: no ids.
+
+    Every pre-token is looked up whole in the minimal perfect hash; one that isn't in the
+    vocabulary is merged by the heap. Texts of any length are encoded whole. `remember` bounds
+    the stretches of text whose ids a task keeps."""
+    sent, docs = docs.sparkSession.sparkContext.broadcast(vocabulary), _with_text(docs, "ids")
+    at = docs.columns.index("text")
+    return docs.mapInArrow(lambda batches: _encoded(sent.value, at, remember)(batches), docs.withColumn("ids", F.array().cast("array<int>")).schema)
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """`tokens` with a column `bytes` (binary): what its `ids` (array<int>) stand for; null or no
     ids: empty. Ids outside the vocabulary are an error."""
-    sent = tokens.sparkSession.sparkContext.broadcast(vocabulary)
-    keep = [c for c in tokens.columns if c != "bytes"]
-    at = keep.index("ids")
+    sent, tokens = tokens.sparkSession.sparkContext.broadcast(vocabulary), tokens.select(*[c for c in tokens.columns if c != "bytes"])
+    at = tokens.columns.index("ids")
+    return tokens.mapInArrow(lambda batches: _decoded(sent.value, at)(batches), tokens.withColumn("bytes", F.lit(None).cast("binary")).schema)
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, remember: int = 100_000) -> DataFrame:
+    """`docs` without its text, with `ids` and `bytes`: `encode` and then `decode` in the same task, which so holds one
+    vocabulary and sends the ids to Spark once."""
+    sent, docs = docs.sparkSession.sparkContext.broadcast(vocabulary), _with_text(docs, "ids", "bytes")
+    at, kept = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        of = sent.value.decoder()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                lists = part.column(at)
-                n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                data, each = of(lists.flatten().to_numpy(zero_copy_only=False))
-                ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])]
-                raw = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.record_batch([*part.columns, raw], names=[*keep, "bytes"])
+        coded = _encoded(sent.value, at, remember)(batches)
+        yield from _decoded(sent.value, len(kept))(batch.drop_columns("text") for batch in coded)
 
-    tokens = tokens.select(*keep)
-    return tokens.mapInArrow(run, tokens.withColumn("bytes", F.lit(None).cast("binary")).schema)
+    return docs.mapInArrow(run, docs.select(*kept, F.array().cast("array<int>").alias("ids"), F.lit(None).cast("binary").alias("bytes")).schema)
 
 
 def vocabulary(path: str | None = None) -> Vocabulary:
@@ -245,8 +272,7 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 
 def token_digests(docs: DataFrame, words: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    out = decode(encode(docs.select("doc_id", "text"), words).drop("text"), words)
-    return out.select(
+    return round_trip(docs.select("doc_id", "text"), words).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

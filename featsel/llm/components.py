@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featsel.llm.common import written
+from featsel.llm.common import Scratch, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,27 +18,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     chains and stars alike), and no neighbour list is ever gathered. A null or an edge from a node
     to itself links nothing; without edges the result is empty.
     """
-    edges = written(edges.select("u", "v").where("u <> v").distinct())
-    steps = []
+    scratch = Scratch(edges.sparkSession)
+    edges = written(edges.select("u", "v").where("u <> v").distinct(), scratch)
+    none, steps = edges.select(F.col("u").alias("node"), F.col("v").alias("component")), []
     while n := edges.count():
         files = max(4, n // 50_000)  # the edges only get fewer
         both = edges.select("u", "v").union(edges.select("v", "u"))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("r"), F.col(c).alias("x"))
         to = both.groupBy("u").agg(F.min(rank("v")).alias("low"))
-        step = written(to.select(F.col("u").alias("node"), F.least("low", rank("u"))["x"].alias("into")).coalesce(files))
+        step = written(to.select(F.col("u").alias("node"), F.least("low", rank("u"))["x"].alias("into")).coalesce(files), scratch)
         steps.append(step)
         to_u = step.select(F.col("node").alias("u"), F.col("into").alias("a"))
         to_v = step.select(F.col("node").alias("v"), F.col("into").alias("b"))
         edges = written(
             edges.join(to_u, "u").join(to_v, "v").where("a <> b")
-            .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().coalesce(files)
+            .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().coalesce(files), scratch
         )
     if not steps:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return none
     labels = steps[-1].select("node", F.col("into").alias("label"))
     for step in reversed(steps[:-1]):
         after = labels.select(F.col("node").alias("into"), "label")
         labels = step.join(after, "into", "left").select("node", F.coalesce("label", "into").alias("label"))
     labels = written(labels.coalesce(max(4, steps[0].count() // 50_000)))
+    scratch.drop()
     least = labels.groupBy("label").agg(F.min(F.least("node", "label")).alias("component"))
     return labels.join(least, "label").select("node", "component")

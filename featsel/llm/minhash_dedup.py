@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featsel.llm.common import small, table, written
+from featsel.llm.common import Scratch, slices, small, table, written
 from featsel.llm.components import connected_components
 from featsel.llm.shingles import MinHash, WordHash, shingle_set
 
@@ -21,8 +21,8 @@ SIZE = BANDS * ROWS
 LONG = 512
 #: Signature hashes compared at once by the sequential test.
 BATCH = 16
-#: Members of a bucket that meet as many others in one task.
-BLOCK = 512
+#: Members of a bucket that meet as many others in one task (some 10 MB of signatures).
+BLOCK = 4096
 #: A pair that is just similar enough is pruned with this probability at the most, over all looks together.
 MISS = 1e-4
 
@@ -66,33 +66,31 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashed, minhash = WordHash(), MinHash(SIZE)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for at in range(0, len(texts), 256):
-                sets = [shingle_set(t or b"", hashed) for t in texts[at : at + 256].to_pylist()]
-                full = [s for s in sets if len(s)]
-                sig = minhash(full) if full else np.empty((0, SIZE), np.uint32)
-                keys = np.full((len(full), BANDS), np.uint64(0x51ED270B))
-                keys += np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                for r in range(ROWS):
-                    keys ^= sig[:, r::ROWS]
-                    keys *= np.uint64(0x9E3779B97F4A7C15)
-                    keys ^= keys >> np.uint64(29)
-                where = np.cumsum([len(s) > 0 for s in sets]) - 1
-                has = np.array([len(s) > 0 for s in sets])
-                digests = np.array([_digest(s) for s in full], np.int64).reshape(-1, 2)
-                pick = lambda rows: [rows[w] if h else None for w, h in zip(where, has)]  # noqa: B023, E731
-                yield pa.record_batch(
-                    [
-                        batch.column("doc_id")[at : at + 256],
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(pick(digests[:, 0].tolist()), pa.int64()),
-                        pa.array(pick(digests[:, 1].tolist()), pa.int64()),
-                        pa.array(pick([s.tobytes() for s in sig.astype(np.uint16)]), pa.binary()),
-                        pa.array(pick(list(keys.view(np.int64))), pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sig", "bands"],
-                )
+        for batch in slices(batches):
+            sets = [shingle_set(t or b"", hashed) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            full = [s for s in sets if len(s)]
+            sig = minhash(full) if full else np.empty((0, SIZE), np.uint32)
+            keys = np.full((len(full), BANDS), np.uint64(0x51ED270B))
+            keys += np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            for r in range(ROWS):
+                keys ^= sig[:, r::ROWS]
+                keys *= np.uint64(0x9E3779B97F4A7C15)
+                keys ^= keys >> np.uint64(29)
+            where = np.cumsum([len(s) > 0 for s in sets]) - 1
+            has = np.array([len(s) > 0 for s in sets])
+            digests = np.array([_digest(s) for s in full], np.int64).reshape(-1, 2)
+            pick = lambda rows: [rows[w] if h else None for w, h in zip(where, has)]  # noqa: B023, E731
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(pick(digests[:, 0].tolist()), pa.int64()),
+                    pa.array(pick(digests[:, 1].tolist()), pa.int64()),
+                    pa.array(pick([s.tobytes() for s in sig.astype(np.uint16)]), pa.binary()),
+                    pa.array(pick(list(keys.view(np.int64))), pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n_shingles", "d1", "d2", "sig", "bands"],
+            )
 
     schema = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
@@ -129,15 +127,13 @@ def _long_signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashed, minhash = WordHash(), MinHash(LONG, seed=11)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for at in range(0, len(texts), 256):
-                sets = [shingle_set(t or b"", hashed) for t in texts[at : at + 256].to_pylist()]
-                keep = [k for k, s in enumerate(sets) if len(s)]
-                if keep:
-                    sig = minhash([sets[k] for k in keep]).astype(np.uint16)
-                    ids = batch.column("doc_id")[at : at + 256].take(pa.array(keep))
-                    yield pa.record_batch([ids, pa.array([s.tobytes() for s in sig], pa.binary())], names=["u", "sig"])
+        for batch in slices(batches):
+            sets = [shingle_set(t or b"", hashed) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            keep = [k for k, s in enumerate(sets) if len(s)]
+            if keep:
+                sig = minhash([sets[k] for k in keep]).astype(np.uint16)
+                ids = batch.column("doc_id").take(pa.array(keep))
+                yield pa.record_batch([ids, pa.array([s.tobytes() for s in sig], pa.binary())], names=["u", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "u long, sig binary")
 
@@ -147,7 +143,7 @@ def _similar_signatures(pairs: DataFrame, percent: int) -> DataFrame:
     least = np.array(fewest_matches(percent))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 4096):
             left, found = _alive(*(_signatures_of(batch.column(c)) for c in ("sig_u", "sig_v")), least)
             keep = pa.array(left)
             yield pa.record_batch([batch.column("u").take(keep), batch.column("v").take(keep), pa.array(found)], names=["u", "v", "matches"])
@@ -155,7 +151,7 @@ def _similar_signatures(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long, matches long")
 
 
-def _between_groups(members: DataFrame, percent: int, best: bool) -> DataFrame:
+def _between_groups(members: DataFrame, percent: int, best: bool, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) of different groups inside a bucket that the sequential test doesn't prune.
 
     `members`: band, bands (all of u's), u, g (group), sig. A bucket is cut into blocks of BLOCK members and every two
@@ -164,7 +160,7 @@ def _between_groups(members: DataFrame, percent: int, best: bool) -> DataFrame:
     returned in the first of its bands only. best: only the best partner of each
     member in each two blocks; else every one that is left."""
     least = np.array(fewest_matches(percent, size=LONG))
-    sizes = written(members.groupBy("band").agg(F.count("*").alias("n")))
+    sizes = written(members.groupBy("band").agg(F.count("*").alias("n")), scratch)
     packs = max(1, (sizes.where(f"n <= {BLOCK}").agg(F.sum("n")).first()[0] or 0) // BLOCK)
     few = F.col("n") <= BLOCK  # many small buckets share a task
     sizes = sizes.select(
@@ -210,32 +206,26 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashed = WordHash()
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for at in range(0, len(texts), 256):
-                sets = [shingle_set(t or b"", hashed).view(np.int64) for t in texts[at : at + 256].to_pylist()]
-                flat = pa.array(np.concatenate(sets))
-                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                yield pa.record_batch(
-                    [batch.column("doc_id")[at : at + 256], pa.ListArray.from_arrays(ends, flat)],
-                    names=["doc_id", "shingles"],
-                )
+        for batch in slices(batches):
+            sets = [shingle_set(t or b"", hashed).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["doc_id", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough; both ends are doc_ids."""
-    ends = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
+    ends = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), scratch)
     n = ends.count()
     if not n:
         return pairs.select("u", "v").limit(0)
-    sets = written(shingle_sets(docs.join(small(ends), "doc_id", "left_semi")))
+    sets = written(shingle_sets(docs.join(small(ends), "doc_id", "left_semi")), scratch)
     of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = F.size(F.array_intersect("set_u", "set_v"))
     union = F.size("set_u") + F.size("set_v") - both
     linked = pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").where(100 * both >= percent * union).select("u", "v")
-    return written(linked.coalesce(max(8, n // 2_000)))
+    return written(linked.coalesce(max(8, n // 2_000)), scratch)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -259,48 +249,69 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     several texts. Columns other than doc_id and text are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scratch = Scratch(docs.sparkSession)
     seen = written(signatures(docs))
     sets = written(
-        seen.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+        seen.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), scratch
     )
     copies = seen.join(sets.where("n > 1"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     reps = written(
         seen.join(sets.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "doc_id"], "left_semi")
-        .dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "sig", "bands")
+        .dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "sig", "bands"), scratch
     )
+    # what is counted by band is written before it is joined back: Spark can split a join of two plain shuffles at hot keys
     buckets = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
-    shared = written(buckets.join(hubs.select("band", "hub"), "band"))
+    hubs = written(buckets.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("band", "hub"), scratch)
+    shared = written(buckets.join(hubs, "band"), scratch)
 
     sig = reps.select("doc_id", "sig")
     stars = shared.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     stars = stars.join(sig.toDF("u", "sig_u"), "u").join(sig.toDF("v", "sig_v"), "v")
     best = _similar_signatures(stars, percent).groupBy("u").agg(F.max_by("v", F.struct("matches", -F.col("v"))).alias("v"))
-    links = _confirmed(docs, written(best), percent)
+    links = _confirmed(docs, written(best, scratch), percent, scratch)
     long = None
     for only_best in (True, False):
         groups = connected_components(links).select(F.col("node").alias("u"), F.col("component").alias("g"))
-        member = written(shared.withColumnRenamed("node", "u").join(groups, "u", "left").select("band", "u", F.coalesce("g", "u").alias("g")))
-        open_ = member.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("band")
+        member = written(shared.withColumnRenamed("node", "u").join(groups, "u", "left").select("band", "u", F.coalesce("g", "u").alias("g")), scratch)
+        open_ = written(member.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("band"), scratch)
         member = member.join(open_, "band", "left_semi")
         if long is None:
-            ids = written(member.select(F.col("u").alias("doc_id")).distinct())
-            long = written(_long_signatures(docs.join(small(ids), "doc_id", "left_semi")))
+            ids = written(member.select(F.col("u").alias("doc_id")).distinct(), scratch)
+            long = written(_long_signatures(docs.join(small(ids), "doc_id", "left_semi")), scratch)
         member = member.join(long, "u").join(reps.select(F.col("doc_id").alias("u"), "bands"), "u")
-        left = _between_groups(written(member), percent, only_best)
-        links = written(links.union(_confirmed(docs, written(left), percent)))
+        left = _between_groups(written(member, scratch), percent, only_best, scratch)
+        links = written(links.union(_confirmed(docs, written(left, scratch), percent, scratch)), scratch)
 
     groups = written(connected_components(links.union(copies)))
+    scratch.drop()
     out = seen.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that `near_duplicates` keeps, with all their columns."""
+    """The documents that `near_duplicates` keeps, with all their columns and every row of theirs."""
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(small(written(gone)), "doc_id", "left_anti")
 
 
+def one_of_each_group(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One document of each group of `near_duplicates`, each of its texts once, with all columns.
+
+    Rows that share a doc_id are one document: its different texts stay, each once. A row
+    without doc_id is a document of its own, known by its text; of a group that has documents with an id, one of these
+    stays. Blank texts are no copies of each other, but rows that also repeat a doc_id are one."""
+    text, two = F.col("text").cast("string"), F.lit(2**62)
+    by_text = two + F.shiftrightunsigned(F.xxhash64(text), 2)  # above any other doc_id
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), by_text).alias("_id"), text.alias("text"))
+    gone = written(near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), percent).where("not kept").select(F.col("doc_id").alias("_id")).distinct())
+    rows = rows.join(small(gone), "_id", "left_anti")
+    again = small(written(rows.groupBy("_id").count().where("count > 1").select("_id")))
+    once = rows.join(again, "_id", "left_anti")
+    # texts are told apart by 128 bits; repeats combine before they are shuffled
+    first = rows.join(again, "_id", "left_semi").groupBy("_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(F.first("row").alias("row"))
+    return once.select("row.*").union(first.select("row.*"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,9 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from featsel.llm.common import table, written
+from featsel.llm.common import slices, table, written
 
 # Frequent function words of the corpus languages.
 STOP_WORDS = frozenset(
@@ -85,7 +85,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         weight = 3 ** np.arange(LABELLERS)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             yield pa.record_batch([pa.array([int(weight @ votes(measures(t or b""))) for t in texts], pa.int32())], names=["pattern"])
 
@@ -126,18 +126,28 @@ def _shape(word: bytes) -> bytes:
         c = (97, 65, 48, 32, b, b)[k]
         if not out or out[-1] != c:
             out.append(c)
-    return bytes(out[:12])
+    return bytes(out)
 
 
-class Hashed(dict):
-    """Word -> its hashed dimensions: the word itself, its shape and its last three bytes."""
+class Remembered(dict):
+    """Word -> what `of` finds for it, read in full. Holds at most `most` words, of 64 bytes each at the most (some 40 MB)."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int]:
-        if len(self) >= 200_000:
-            self.clear()
-        at = lambda tag, x: xxhash.xxh3_64_intdigest(tag + x) % DIMS
-        self[word] = out = (at(b"w", word.lower()), at(b"s", _shape(word)), at(b"e", word[-3:].lower()))
-        return out
+    def __init__(self, of, most: int = 200_000):
+        self.of, self.most = of, most
+
+    def __missing__(self, word: bytes):
+        found = self.of(word)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def dimensions(word: bytes) -> tuple[int, int, int]:
+    """A word's hashed dimensions: the word itself, its shape and its last three bytes."""
+    at = lambda tag, x: xxhash.xxh3_64_intdigest(tag + x) % DIMS
+    return at(b"w", word.lower()), at(b"s", _shape(word)), at(b"e", word[-3:].lower())
 
 
 def extras(words: list[bytes]) -> tuple[tuple[int, float], ...]:
@@ -148,7 +158,7 @@ def extras(words: list[bytes]) -> tuple[tuple[int, float], ...]:
     return ((DIMS, 1.0), (DIMS + 1, repeats), (DIMS + 2, echo), (DIMS + 3, repeats**4))
 
 
-def vector(text: bytes, hashed: Hashed) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: bytes, hashed: dict) -> tuple[np.ndarray, np.ndarray]:
     """Dimensions and values: each word's dimensions by their share of the words, and the extras."""
     words = text.split()
     at, n = np.unique(np.array(list(map(hashed.__getitem__, words)), np.int32).ravel(), return_counts=True)
@@ -165,6 +175,26 @@ class Model:
     good_share: float
 
 
+def _training_rows(docs: DataFrame, total: int, sample: int) -> list:
+    """(vote pattern, features at, values x) of about `sample` documents of smallest hash of (doc_id, text): hashes under
+    the share that is wanted, and of these at most 2 `sample` in order of hash (rows that repeat share one). Only features
+    move, as the bytes of their arrays."""
+
+    def run(batches):
+        weight, hashed = 3 ** np.arange(LABELLERS), Remembered(dimensions, 20_000)
+        for batch in slices(batches):
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            p = pa.array([int(weight @ votes(measures(t))) for t in texts], pa.int64())
+            at, x = zip(*(vector(t, hashed) for t in texts))
+            data = (pa.array([v.astype(kind).tobytes() for v in vs], pa.binary()) for vs, kind in ((at, np.int32), (x, np.float32)))
+            yield pa.record_batch([batch.column("h"), p, *data], names=["h", "p", "at", "x"])
+
+    hashes = docs.select(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"), "text")  # 63 bits
+    chosen = hashes.where(F.col("h") <= F.lit(sample * 2**63 // max(1, total) - 1)) if total > sample else hashes
+    rows = chosen.mapInArrow(run, "h long, p long, at binary, x binary").orderBy("h").limit(2 * sample).drop("h").collect()
+    return sorted((p, bytes(at), bytes(x)) for p, at, x in rows)
+
+
 def fit(docs: DataFrame, sample: int = 6_000, epochs: int = 30, seed: int = 5) -> Model:
     """Weak labels from all documents, then the scorer from a bounded sample of them.
 
@@ -177,24 +207,11 @@ def fit(docs: DataFrame, sample: int = 6_000, epochs: int = 30, seed: int = 5) -
     digits = (seen["pattern"].to_numpy()[:, None] // 3 ** np.arange(LABELLERS)) % 3
     post, accuracies, share = expectation_maximisation(digits, seen["count"].to_numpy(float))
     of = dict(zip(seen["pattern"].tolist(), post.tolist()))
-    total = int(seen["count"].sum())
-
-    def run(batches):
-        weight, hashed = 3 ** np.arange(LABELLERS), Hashed()
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            p = pa.array([int(weight @ votes(measures(t))) for t in texts], pa.int64())
-            at, x = zip(*(vector(t, hashed) for t in texts)) if texts else ((), ())
-            yield pa.record_batch([p, pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["p", "at", "x"])
-
-    part = min(1.0, sample / max(1, total))
-    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(int(part * 1_000_000))
-    rows = docs.select("doc_id", "text").where(chosen).select("text").mapInArrow(run, "p long, at array<int>, x array<double>").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["p"], r["at"], r["x"]))
+    rows = _training_rows(docs, int(seen["count"].sum()), sample)
     weights = np.zeros(DIMS + 4)
     if rows:
         m, v, rng, t = np.zeros_like(weights), np.zeros_like(weights), np.random.default_rng(seed), 0
-        data = [(np.array(r["at"]), np.array(r["x"]), of.get(r["p"], share)) for r in rows]
+        data = [(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), of.get(p, share)) for p, at, x in rows]
         for _ in range(epochs):
             for part_ in np.array_split(rng.permutation(len(data)), max(1, len(data) // 64)):
                 g = 1e-4 * weights
@@ -211,32 +228,24 @@ def fit(docs: DataFrame, sample: int = 6_000, epochs: int = 30, seed: int = 5) -
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """`docs` with quality_score (0 to 1, higher is better) and kept (score >= keep), for every row
-    from its whole text."""
-    names = [c for c in docs.columns if c not in ("quality_score", "kept")]
-    sent, at = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float64)), names.index("text")
+    from its whole text. Only the texts go to Python, and only scores come back."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float64))
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = sent.value
-
-        class Weight(dict):
-            def __missing__(self, word):
-                if len(self) >= 300_000:
-                    self.clear()
-                self[word] = out = float(sum(w[i] for i in Hashed.__missing__(Hashed(), word)))
-                return out
-
-        weight = Weight()
-        for batch in batches:
+        weight = Remembered(lambda word: float(sum(w[i] for i in dimensions(word))))
+        for batch in texts:
             out = []
-            for text in batch.column(at).cast(pa.binary()).to_pylist():
-                words = (text or b"").split()
-                z = sum(map(weight.__getitem__, words)) / max(1, len(words)) + sum(w[i] * x for i, x in extras(words))
-                out.append(1 / (1 + np.exp(-np.clip(z, -35, 35))) if words else 0.0)
-            s = pa.array(out, pa.float64())
-            yield pa.record_batch([*batch.columns, s, pa.array([x >= keep for x in out], pa.bool_())], names=[*names, "quality_score", "kept"])
-
-    rows = docs.select(*names).withColumn("text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("quality_score", T.DoubleType()), T.StructField("kept", T.BooleanType())]))
+            for part in slices([batch]):
+                for text in part.cast(pa.binary()).to_pylist():
+                    words = (text or b"").split()
+                    z = sum(map(weight.__getitem__, words)) / max(1, len(words)) + sum(w[i] * x for i, x in extras(words))
+                    out.append(1 / (1 + np.exp(-np.clip(z, -35, 35))) if words else 0.0)
+            yield pa.array(out, pa.float64())
+
+    rows = docs.select(*[c for c in docs.columns if c not in ("quality_score", "kept")]).withColumn("text", F.col("text").cast("string"))
+    return rows.withColumn("quality_score", scores("text")).withColumn("kept", F.col("quality_score") >= F.lit(keep))
 
 
 def classify(docs: DataFrame, sample: int = 6_000) -> DataFrame:

@@ -11,15 +11,17 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 class WordHash(dict):
-    """Word -> 64-bit hash, remembering at most `most` words."""
+    """Word -> 64-bit hash, remembering at most `most` words of 64 bytes at the most (some 20 MB)."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

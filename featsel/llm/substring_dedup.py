@@ -6,14 +6,13 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featsel.llm.common import small, table, written
+from featsel.llm.common import Scratch, slices, small, table, written
 from featsel.llm.shingles import WordHash, mixed
 
 #: Words in a window.
@@ -56,14 +55,14 @@ def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
         power = np.uint64(int(power) ** 2 % 2**64)
 
 
-def _key(words: list[bytes]) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(b" ".join(words))
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _key(words: list[bytes]) -> bytes:
+    """128 bits by which a word sequence is known."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-@F.pandas_udf(T.LongType())
-def _keys(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _key(t.encode().split())[0])
+@F.arrow_udf(T.BinaryType())
+def _keys(texts: pa.Array) -> pa.Array:
+    return pa.concat_arrays([pa.array([_key(t.split()) for t in part.cast(pa.binary()).to_pylist()], pa.binary()) for part in slices([texts])] or [pa.array([], pa.binary())])
 
 
 def _text() -> Column:
@@ -83,26 +82,23 @@ def _scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashed = WordHash()
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for at in range(0, len(texts), 256):
-                n, keys, shas, anchors = [], [], [], []
-                for text in texts[at : at + 256].to_pylist():
-                    words = text.split()
-                    n.append(len(words))
-                    keys.append(_key(words)[0])
-                    shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    found = run_hashes(hashed.of(words), width) if len(words) >= WINDOW else np.empty(0, np.uint64)
-                    places = (np.arange(0, len(found), PERIOD)[:, None] + cover).ravel()
-                    anchors.append(found[places[places < len(found)]].view(np.int64))
-                ends = pa.array(np.cumsum([0, *map(len, anchors)]), pa.int32())
-                yield pa.record_batch(
-                    [batch.column("row_id")[at : at + 256], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(shas),
-                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(anchors)))],
-                    names=["row_id", "n_words", "key", "sha", "anchors"],
-                )
-
-    return docs.select("row_id", "text").mapInArrow(run, "row_id long, n_words long, key long, sha string, anchors array<long>")
+        for batch in slices(batches):
+            n, keys, shas, anchors = [], [], [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                words = text.split()
+                n.append(len(words))
+                keys.append(_key(words))
+                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                found = run_hashes(hashed.of(words), width) if len(words) >= WINDOW else np.empty(0, np.uint64)
+                places = (np.arange(0, len(found), PERIOD)[:, None] + cover).ravel()
+                anchors.append(found[places[places < len(found)]].view(np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, anchors)]), pa.int32())
+            yield pa.record_batch(
+                [batch.column("row_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shas), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(anchors)))],
+                names=["row_id", "n_words", "key", "sha", "anchors"],
+            )
+
+    return docs.select("row_id", "text").mapInArrow(run, "row_id long, n_words long, key binary, sha string, anchors array<long>")
 
 
 def _candidate_windows(docs: DataFrame) -> DataFrame:
@@ -112,29 +108,28 @@ def _candidate_windows(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashed = WordHash()
-        for batch in batches:
-            keys, idx = batch.column("key").to_pylist(), batch.column("idx")
-            for at in range(0, len(keys), 64):
-                out = [[], [], [], []]
-                for k, text in enumerate(batch.column("text")[at : at + 64].cast(pa.binary()).to_pylist(), at):
-                    words = text.split()
-                    if _key(words)[0] != keys[k]:
-                        continue
-                    places = idx[k].values.to_numpy(zero_copy_only=False)
-                    p = places // len(cover) * PERIOD + cover[places % len(cover)]
-                    steps = np.zeros(len(words) + 2, np.int64)
-                    np.add.at(steps, np.maximum(p + width - WINDOW, 0), 1)
-                    np.add.at(steps, p + 1, -1)
-                    starts = np.flatnonzero(np.cumsum(steps)[: len(words) - WINDOW + 1])
-                    h = hashed.of(words)
-                    out[0].append(np.full(len(starts), keys[k], np.int64))
-                    out[1].append(starts.astype(np.int32))
-                    out[2].append(run_hashes(h, WINDOW)[starts].view(np.int64))
-                    out[3].append(run_hashes(mixed(h ^ _SECOND), WINDOW)[starts].view(np.int64))
-                if out[0]:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["key", "first", "h1", "h2"])
-
-    return docs.select("text", "key", "idx").mapInArrow(run, "key long, first int, h1 long, h2 long")
+        for batch in slices(batches, 64):
+            keys, idx, out = batch.column("key"), batch.column("idx"), [[], [], [], []]
+            for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                words = text.split()
+                if _key(words) != keys[k].as_py():
+                    continue
+                places = idx[k].values.to_numpy(zero_copy_only=False)
+                p = places // len(cover) * PERIOD + cover[places % len(cover)]
+                steps = np.zeros(len(words) + 2, np.int64)
+                np.add.at(steps, np.maximum(p + width - WINDOW, 0), 1)
+                np.add.at(steps, p + 1, -1)
+                starts = np.flatnonzero(np.cumsum(steps)[: len(words) - WINDOW + 1])
+                h = hashed.of(words)
+                out[0].append(np.full(len(starts), k))
+                out[1].append(starts.astype(np.int32))
+                out[2].append(run_hashes(h, WINDOW)[starts].view(np.int64))
+                out[3].append(run_hashes(mixed(h ^ _SECOND), WINDOW)[starts].view(np.int64))
+            if out[0]:
+                who, *rest = map(np.concatenate, out)
+                yield pa.record_batch([keys.take(pa.array(who)), *map(pa.array, rest)], names=["key", "first", "h1", "h2"])
+
+    return docs.select("text", "key", "idx").mapInArrow(run, "key binary, first int, h1 long, h2 long")
 
 
 class Repeats:
@@ -147,6 +142,7 @@ class Repeats:
     """
 
     def __init__(self, docs: DataFrame):
+        scratch = Scratch(docs.sparkSession)
         docs = docs.select("doc_id", _row_id().alias("row_id"), _text().alias("text"))
         scanned = written(_scan(docs))
         texts = written(scanned.groupBy("key").agg(F.count("*").alias("copies"), F.min("row_id").alias("rep")))
@@ -154,18 +150,20 @@ class Repeats:
         # 1. anchors that occur more than once, in different texts or in one
         single = scanned.join(rep, ["key", "row_id"], "left_semi").dropDuplicates(["key"])
         anchors = single.where("n_words >= %d" % WINDOW).select("key", F.posexplode("anchors").alias("idx", "anchor"))
-        often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-        marks = anchors.join(often, "anchor").groupBy("key").agg(F.collect_list("idx").alias("idx"))
-        marks = written(marks.join(rep, "key").select("key", "row_id", "idx"))
+        # what is counted is written before it is joined back: a join of two plain shuffles is one that Spark splits at hot keys
+        often = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), scratch)
+        marks = anchors.join(small(often), "anchor").groupBy("key").agg(F.collect_list("idx").alias("idx"))
+        marks = written(marks.join(rep, "key").select("key", "row_id", "idx"), scratch)
         # 2. the windows around them, compared as wholes
         marked = docs.join(small(marks.select("row_id").distinct()), "row_id", "left_semi").select("row_id", "text")
-        windows = written(_candidate_windows(marked.join(marks, "row_id")))
-        twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-        found = windows.join(twice, ["h1", "h2"]).groupBy("key").agg(F.collect_list("first").alias("firsts"))
+        windows = written(_candidate_windows(marked.join(marks, "row_id")), scratch)
+        twice = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), scratch)
+        found = windows.join(small(twice), ["h1", "h2"]).groupBy("key").agg(F.collect_list("first").alias("firsts"))
         lone = texts.where("copies = 1").select("key", F.col("rep").alias("row_id"))
         self.docs = docs
         self.windows = written(found.join(lone, "key").select("key", "row_id", "firsts"))
         self.scanned = scanned.drop("anchors").join(texts.select("key", "copies"), "key")
+        scratch.drop()
 
     def whole(self) -> DataFrame:
         """Documents that repeat as a whole: row_id, key."""
@@ -177,12 +175,12 @@ class Repeats:
         texts = self.docs.join(small(self.windows.select("row_id").distinct()), "row_id", "left_semi")
 
         def run(batches):
-            for batch in batches:
+            for batch in slices(batches, 64):
                 ids, keys, firsts = batch.column("row_id").to_pylist(), batch.column("key").to_pylist(), batch.column("firsts")
                 out = []
                 for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                     words = text.split()
-                    if _key(words)[0] != keys[k]:
+                    if _key(words) != keys[k]:
                         continue
                     at = firsts[k].values.to_numpy(zero_copy_only=False)
                     steps = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)
@@ -190,12 +188,12 @@ class Repeats:
                     out.append((ids[k], keys[k], b" ".join([words[i] for i in stays]), len(words) - len(stays)))
                 cols = list(zip(*out)) or [[], [], [], []]
                 yield pa.record_batch(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], pa.int64())],
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], pa.int64())],
                     names=["row_id", "key", "kept", "n_removed"],
                 )
 
         found = texts.select("row_id", "text").join(self.windows, "row_id").select("row_id", "text", "key", "firsts")
-        return found.mapInArrow(run, "row_id long, key long, kept string, n_removed long")
+        return found.mapInArrow(run, "row_id long, key binary, kept string, n_removed long")
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
