@@ -41,10 +41,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     url's path starts with the rule's. The longest fitting rule wins (then the one that sorts
     last; of two verdicts on one rule, block); without one the verdict is `default`.
 
-    Every distinct (host, path) is expanded into its host suffixes and those path prefixes whose
-    length some rule has. Expressions meet the rules by an equi-join on the first 32 bits of their
+    Every distinct (host, path) is expanded into those host suffixes whose number of labels, and those path prefixes whose
+    length, some rule has; so a host of very many labels makes no more of them than there are such numbers. Expressions
+    meet the rules by an equi-join on the first 32 bits of their
     SHA-256; full digests then confirm. Expansion is done on distinct (host, path) pairs, so a url
-    that many rows share is judged once, and on no text but the url.
+    that many rows share is judged once, and on no text but the url. What was found is written before it is joined with
+    the pages, so that Spark can split a url that many of these share.
 
     A null url, or one without ://, has an empty host and path and fits no rule. Rows are returned
     as often as they come, with their other columns; columns named host, path, rule or verdict are
@@ -58,9 +60,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     rules = rules.withColumn("digest", F.sha2("rule", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX))
     # the lengths of rule paths: as many as the longest path has characters, at the most
     lengths = sorted(r[0] for r in rules.select((F.length("rule") - slash + 1).alias("n")).distinct().collect())
+    # the numbers of labels of rule hosts: as many as the longest host has labels, at the most
+    of_host = F.size(F.split(F.substring(F.col("rule"), F.lit(1), slash - 1), r"\."))
+    counts = sorted(r[0] for r in rules.select(of_host.alias("n")).distinct().collect())
 
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # of a host of fewer labels this is the whole host, which may come up again
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in counts]).cast("array<string>"))
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     seen = pages.where("host <> ''").select("host", "path").distinct()
     each = seen.withColumn("suffix", F.explode(suffixes)).withColumn("n", F.explode(fitting))
@@ -68,7 +73,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     each = each.withColumn("full", F.sha2("expression", 256)).withColumn("prefix", F.substring("full", 1, PREFIX))
     fits = each.join(rules, "prefix").where("full = digest")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
-    out = pages.join(best.select("host", "path", "best.rule", "best.verdict"), ["host", "path"], "left")
+    best = small(written(best.select("host", "path", "best.rule", "best.verdict")))
+    out = pages.join(best, ["host", "path"], "left")
     return out.select(*pages.columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
