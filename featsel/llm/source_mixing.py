@@ -30,6 +30,20 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["cdf"])).otherwise(F.array(F.lit(1.0)))
 
 
+def poisson_count(rate: Column, u: Column) -> Column:
+    """The inverse of the Poisson distribution at u: the number of counts whose cumulated probability is at most u. The
+    same terms as `poisson_cdf`, added up one after the other, so that a large rate needs no long array."""
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+
+    def step(a: Column, k: Column) -> Column:
+        log = a["log"] + F.ln(rate / k)
+        cdf = a["cdf"] + F.exp(log)
+        return F.struct(log.alias("log"), cdf.alias("cdf"), (a["n"] + (cdf <= u).cast("int")).alias("n"))
+
+    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("cdf"), (F.exp(-rate) <= u).cast("int").alias("n"))
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["n"])).otherwise(0)
+
+
 def rates(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE) -> DataFrame:
     """source, n_chars, rate: how often each document of the source is wanted on average, so that
     the mix has `epochs` times the corpus's characters in the target shares.
@@ -60,14 +74,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0,
     number of partitions; rows that repeat a doc_id are replicated alike. Null texts count 0 characters.
     Columns named copy or shuffle_key are replaced. An empty table gives no rows.
 
-    The rates (one row a source) are sent to all tasks only if a count shows at most 20,000
-    sources; otherwise Spark joins by shuffle and splits a large source."""
+    The rates (one number a source) are sent to all tasks only if a count shows at most 20,000
+    sources; otherwise Spark joins by shuffle and splits a large source. A row's count costs steps in proportion to its rate, as
+    do its copies; a rate of up to some 10^8 fits."""
     docs = docs.drop("copy", "shuffle_key")
-    rate = rates(docs, weights, epochs, temperature).select(F.col("source").alias("_source"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    rate = rates(docs, weights, epochs, temperature).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     known = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     rows = docs.join(small(rate, 20_000), F.col("source").eqNullSafe(F.col("_source")))
-    u = uniform(seed, known)
-    rows = rows.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= u)))
+    rows = rows.withColumn("_u", uniform(seed, known)).withColumn("_n", poisson_count(F.col("_rate"), F.col("_u")))
     rows = rows.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:shuffle"), known, "copy")))
     return rows.select(*docs.columns, "copy", "shuffle_key").orderBy("shuffle_key")
