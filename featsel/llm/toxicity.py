@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featsel.llm.common import table, written
+from featsel.llm.common import slices, table, written
 
 #: Words in a window, and by how many the next one starts later.
 WINDOW, STEP = 32, 24
@@ -244,20 +244,28 @@ class Scorer:
         return out
 
 
-def train(texts: list[bytes], toxic: list[int], seed: int = 0, rounds: int = 3, epochs: int = 5) -> Network:
+def train(texts: list[bytes], toxic: list[int], seed: int = 0, rounds: int = 3, epochs: int = 5, known_words: int = 20_000, windows_each: int = 3) -> Network:
     """Fit the network on whole labelled texts. A label says that some window of the text is toxic, not which: the
     first round takes from each toxic text the window with the word that is most typical of toxic
     texts, later rounds the window that scores highest (texts whose best stays low count as
-    mislabelled); other windows come from the rest, random ones and those that score highest."""
+    mislabelled); other windows come from the rest, random ones and those that score highest.
+
+    known_words: words that get an embedding of their own (those in most texts); windows_each: further windows of a toxic
+    text, and random ones of any other, that a round trains on. Both bound the training only. Without a text nothing is learnt: every
+    text with words then scores alike, below the bound of TOXIC."""
     rng = np.random.default_rng(seed)
+    if not texts:
+        net = Network.new([], seed)
+        net.p["o"][:] = 0
+        return net
     words = [[plain(w) for w in steps(t)] for t in texts]
-    y = np.array(toxic)
+    y = np.array(toxic, int)
     df = [{}, {}]
     for ws, label in zip(words, y):
         for w in set(ws):
             df[label][w] = df[label].get(w, 0) + 1
     n = np.bincount(y, minlength=2) + 1
-    vocabulary = sorted((w for w in {*df[0], *df[1]} if df[0].get(w, 0) + df[1].get(w, 0) >= 3), key=lambda w: (-df[0].get(w, 0) - df[1].get(w, 0), w))[:20_000]
+    vocabulary = sorted((w for w in {*df[0], *df[1]} if df[0].get(w, 0) + df[1].get(w, 0) >= 3), key=lambda w: (-df[0].get(w, 0) - df[1].get(w, 0), w))[:known_words]
     typical = {w: c / n[1] / ((df[0].get(w, 0) + 0.5) / n[0]) for w, c in df[1].items() if c >= 3}
     net = Network.new(vocabulary, seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -275,10 +283,10 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 0, rounds: int = 3,
             best = int(own.argmax())
             if y[i]:
                 if own[best] >= (0.3 if round_ else 4):
-                    near = [best, *np.flatnonzero(own >= (0.8 if round_ else 4))[:3]]
+                    near = [best, *np.flatnonzero(own >= (0.8 if round_ else 4))[:windows_each]]
                     chosen += [(ws[starts[k] : starts[k] + WINDOW], 1) for k in set(near)]
             else:
-                some = {*rng.integers(0, len(starts), 3).tolist(), *([best] if round_ else [])}
+                some = {*rng.integers(0, len(starts), windows_each).tolist(), *([best] if round_ else [])}
                 chosen += [(ws[starts[k] : starts[k] + WINDOW], 0) for k in sorted(some)]
         for _ in range(epochs):
             order = rng.permutation(len(chosen))
@@ -302,17 +310,19 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 0, rounds: int = 3,
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, positive: int = 1_000, negative: int = 2_000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, positive: int = 1_000, negative: int = 2_000, longest: int = 200_000) -> Network:
     """Train on a bounded sample of labelled documents: about `positive` toxic and `negative` other ones
-    (all, if there are fewer), chosen by a hash of doc_id. Held-out rows are never read. Rows without a
-    doc_id or label, and doc_ids with both labels, don't train; only text and label are inputs."""
+    (all, if there are fewer), of at most `longest` characters, chosen by a hash of doc_id. Held-out rows are never read. Rows without a
+    doc_id or label, and doc_ids with both labels, don't train; only text and label are inputs. A label that is repeated counts
+    once; a doc_id with several texts trains with each. Empty tables are no error (see `train`)."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
     known = written(known.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {k: int(min(1.0, most / max(1, n.get(k, 0))) * (1 << 30)) for k, most in ((1, positive), (0, negative))}
     ids = known.where((F.col("toxic") == 1) & (F.col("h") < share[1]) | (F.col("toxic") == 0) & (F.col("h") < share[0])).limit(2 * (positive + negative))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").limit(3 * (positive + negative)).collect()
+    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text") <= longest, F.lit(True)))
+    rows = short.join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").limit(3 * (positive + negative)).collect()
     rows = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows))
     return train([t.encode() for _, t, _ in rows], [y for _, _, y in rows])
 
@@ -333,11 +343,9 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(sent.value)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                s = scorer([t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()])
-                yield pa.record_batch([*part.columns, pa.array(s), pa.array((s >= TOXIC).astype(np.int32))], names=[*names, "toxicity_score", "predicted"])
+        for part in slices(batches, 128):
+            s = scorer([t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()])
+            yield pa.record_batch([*part.columns, pa.array(s), pa.array((s >= TOXIC).astype(np.int32))], names=[*names, "toxicity_score", "predicted"])
 
     rows = docs.select(*names).withColumn("text", F.col("text").cast("string"))
     return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("toxicity_score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
