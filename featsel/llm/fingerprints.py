@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from featsel.llm.common import small, table, written
 
 #: White space of Unicode, as a character class.
-_SPACE = r"\s\x1C-\x1F\x85\xA0  -     　"
+_SPACE = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Rows that one task sorts at most, on average, while finding the next document.
 BLOCK_ROWS = 2048
 #: Blocks at most, which bounds the table of their first rows.
@@ -105,6 +105,28 @@ def canonical(text: Column) -> Column:
     return F.trim(F.when(normal.rlike(r"[\x85\xA0\x{1680}-\x{3000}]"), wide).otherwise(plain))
 
 
+@lru_cache
+def _fold_tables() -> tuple[dict[str, str], str]:
+    """From the Unicode database: what full case folding makes of the characters that lower-casing leaves as they are, and a class of
+    these characters (without sharp s, which is common and replaced by itself)."""
+    fold = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c and c.casefold() != c and c != "\xdf":
+            fold[c] = c.casefold()
+    return fold, "[" + "".join(rf"\x{{{ord(c):X}}}" for c in fold) + "]"
+
+
+def folded(text: Column) -> Column:
+    """Full case folding: lower case, then what the Unicode database folds further (sharp s to ss, ligatures to their letters,
+    every sigma to one). A null text counts as empty."""
+    fold, rare = _fold_tables()
+    low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\xdf"), F.lit("ss"))
+    of = _map(fold)
+    each = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(of[c], c)), "")
+    # nothing below U+0149 but the micro sign folds further; testing for that first spares most texts the long class
+    return F.when(low.rlike(r"[^\x00-\xB4\xB6-\x{148}]") & low.rlike(rare) | low.contains("\xb5"), each).otherwise(low)
+
+
 def wide_hash(text: Column, bits: int = 64) -> Column:
     """128 bits as a struct of two xxhash64 with different seeds. Fewer `bits` a half are for tests."""
     cut = lambda h: h if bits == 64 else F.pmod(h, F.lit(2**bits))
@@ -194,7 +216,7 @@ def fingerprints(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for
     every row of `docs` (doc_id, text).
 
-    The fingerprint is the hexadecimal 128-bit xxhash of the canonical text. Buckets that hold more than one
+    The fingerprint is the hexadecimal 128-bit xxhash of the canonical text: case folded in full (`folded`), then `canonical`. Buckets that hold more than one
     text are compared byte by byte (grouped by hash and canonical text with map-side combining, so that
     a bucket of a million copies is one row a task): if different texts ever share a hash, the second
     and later ones in byte order get a suffix -1, -2, ... So fingerprints are equal exactly if the
@@ -206,13 +228,13 @@ def fingerprints(docs: DataFrame, bits: int = 64) -> DataFrame:
     counts as empty; an empty table gives no rows; other columns are ignored."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = with_next(docs.withColumn("f", wide_hash(canonical(F.col("text")), bits)), "h", ["text", "f", "h", "doc_id"])
+    rows = with_next(docs.withColumn("f", wide_hash(canonical(folded(F.col("text"))), bits)), "h", ["text", "f", "h", "doc_id"])
     edited = edited_text(F.col("text"), F.col("next_text"))
     rows = rows.withColumn("edited", edited)
     base = written(
         rows.select(
             "doc_id", "h", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), "f",
-            wide_hash(canonical(F.col("edited")), bits).alias("e"), F.col("next_f").alias("nf"), "next_doc_id", "next_h",
+            wide_hash(canonical(folded(F.col("edited"))), bits).alias("e"), F.col("next_f").alias("nf"), "next_doc_id", "next_h",
         )
     )
     suffix = _collisions(docs, base, bits)
@@ -246,10 +268,10 @@ def _collisions(docs: DataFrame, base: DataFrame, bits: int) -> DataFrame | None
     ends = edits.select("k", "h").union(edits.select("nk", "nh"))
     needed = small(written(plain.union(ends).distinct()))
     texts = docs.select(key.alias("k"), "h", "text").join(needed, ["k", "h"], "left_semi").dropDuplicates(["k", "h"])
-    whole = texts.select("k", "h", F.lit(False).alias("edit"), canonical(F.col("text")).alias("c"))
+    whole = texts.select("k", "h", F.lit(False).alias("edit"), canonical(folded(F.col("text"))).alias("c"))
     other = texts.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("text").alias("next_text"))
     both = edits.join(texts, ["k", "h"]).join(other, ["nk", "nh"])
-    changed = both.select("k", "h", F.lit(True).alias("edit"), canonical(edited_text(F.col("text"), F.col("next_text"))).alias("c"))
+    changed = both.select("k", "h", F.lit(True).alias("edit"), canonical(folded(edited_text(F.col("text"), F.col("next_text")))).alias("c"))
     members = whole.union(changed).withColumn("w", wide_hash(F.col("c"), bits))
     distinct = members.groupBy("w", "c").agg(F.lit(1).alias("one"))
     clash = written(distinct.groupBy("w").count().where("count > 1").select("w"))
