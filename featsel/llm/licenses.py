@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import random
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featsel.llm.common import small, table, written
@@ -23,9 +23,13 @@ TEMPLATES = (
 SHINGLE = 5
 #: Shingles in a text window, and by how many the next window starts later.
 WINDOW, STEP = 4, 2
-#: Bands of one minimum hash each. The least similar window that can hold a notice has one shingle of
-#: four in common with it, so a notice is missed with probability (3/4)^32 = 1e-4 at the most.
-BANDS = 32
+#: Bands of a window's MinHash signature, which is made by one permutation: the hashes of the window's shingles are dealt into so
+#: many bins, and the least of each bin is its band (most bins of a window are empty and have none). Two windows that share a
+#: shingle have an equal band unless another of their shingles lies in the same bin and is less: each of the other three of a
+#: window does with probability 1 / (2 BINS), so a notice of a single shingle is missed with probability 2.3e-5 at the most.
+BINS = 1 << 16
+#: Rows of template bands or shingles that are sent to all tasks at the most (two numbers each); beyond, Spark joins by shuffle.
+SENT = 2_000_000
 #: Share of a template's shingles that must be in the text around a window.
 CONTAINMENT = 0.75
 
@@ -49,16 +53,13 @@ def windows(rows: DataFrame, keys: list[str], sh: str = "sh") -> DataFrame:
     return rows.where(n > 0).select(*keys, F.inline(each))
 
 
-def minimum_hashes(seed: int = 1) -> list[Column]:
-    """BANDS minimum hashes of a window's shingles. A shingle is a random 64-bit number already; each
-    hash turns its bits by another amount and flips some."""
-    r = random.Random(seed)
-    out = []
-    for k in range(BANDS):
-        turn, flip = 2 * k, r.getrandbits(64) - 2**63
-        turned = lambda c: c if not turn else F.shiftleft(c, turn).bitwiseOR(F.shiftrightunsigned(c, 64 - turn))  # noqa: B023, E731
-        out.append(F.least(*[turned(F.col(f"s{i}")).bitwiseXOR(F.lit(flip)) for i in range(WINDOW)]))
-    return out
+def bands() -> Column:
+    """The bands of a window s0 .. s3 as an array: a shingle's hash stands for its bin (its last 16 bits) and its value at once; one
+    that isn't the least of its bin is null."""
+    s = [F.col(f"s{i}") for i in range(WINDOW)]
+    at = [x.bitwiseAND(F.lit(BINS - 1)) for x in s]
+    hidden = [reduce(Column.__or__, [(at[i] == at[j]) & (s[j] < s[i]) for j in range(WINDOW) if j != i]) for i in range(WINDOW)]
+    return F.array(*[F.when(h, F.lit(None)).otherwise(x) for h, x in zip(hidden, s)])
 
 
 def templates_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -70,13 +71,10 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     """doc_id, license, containment, first_word: one row for each row of `docs` (doc_id, text) and
     template (license, text) that it holds.
 
-    Texts and templates are cut into overlapping windows of four shingles. A window's bands (one minimum hash
-    each) retrieve the templates that have a window with an equal band; windows that
-    hold no shingle of any template, which no band can be equal in, are filtered out before the bands
-    are computed (if the templates have 20,000 shingles at most). What is retrieved is verified: the share of
-    the template's distinct shingles that occur within its own length around the window must be at
-    least `containment`. Returned are the largest share and the first word (from 0) of the first
-    match.
+    Texts and templates are cut into overlapping windows of four shingles. A window's MinHash bands (see BINS) retrieve the
+    templates that have a window with an equal band, whatever the number of templates. What is retrieved is verified: the share of
+    the template's n distinct shingles that occur within 2n shingles from one of them on must be at least `containment`. Returned
+    are the largest share and the word (from 0) at which the first such stretch begins.
 
     A null text, or one of under five words, holds nothing; nor does a template of under five words match
     (`short_notices.scan_all` finds those too).
@@ -84,38 +82,32 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     identical rows are returned as often as they come. Empty tables give no rows; other columns are ignored."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = {"k": F.coalesce("doc_id", F.xxhash64("text")), "h": F.xxhash64("text")}
-    known = written(templates.select("license", shingles(F.col("text")).alias("sh")).where(F.size("sh") > 0))
-    hashes = minimum_hashes()
-    pairs = F.array(*[F.struct(F.lit(i).alias("band"), m.alias("value")) for i, m in enumerate(hashes)])
-    bands = written(windows(known, ["license"]).select("license", F.inline(pairs)).distinct())
+    known = templates.select("license", shingles(F.col("text")).alias("sh")).where(F.size("sh") > 0)
+    known = written(known.withColumn("lid", F.dense_rank().over(Window.orderBy("license"))))  # one row a template
+    wanted = windows(known, ["lid"]).select("lid", F.explode(bands()).alias("value")).where("value is not null").distinct()
+    wanted = small(written(wanted), SENT)
 
     # exploding a single value keeps the shingles from being computed again by every later filter
     cut = docs.select(*[v.alias(k) for k, v in key.items()], F.explode(F.array(shingles(F.col("text")))).alias("sh"))
-    can = known.select(F.explode("sh").alias("s")).distinct()
-    few = can.limit(20_001).count() <= 20_000
-    if few:
-        # A minimum hash is a bijection of the shingle that attains it, so a band can only be equal where
-        # the window holds one of the templates' shingles: nothing that the bands would retrieve is lost.
-        at = [r["s"] for r in can.collect()]
-        cut = cut.where(F.arrays_overlap("sh", F.array(*map(F.lit, at)).cast("array<bigint>")))
-    found = windows(cut, ["k", "h"])
-    if few:
-        held = [F.coalesce(F.col(f"s{i}").isin(at), F.lit(False)) for i in range(WINDOW)]
-        found = found.where(F.greatest(*held))
-    found = found.select("k", "h", "j", F.inline(pairs)).join(bands, ["band", "value"]).select("k", "h", "j", "license").distinct()
-    found = written(found)
+    found = windows(cut, ["k", "h"]).select("k", "h", F.explode(bands()).alias("value")).join(wanted, "value")
+    found = written(found.select("k", "h", "lid").distinct())
 
     texts = docs.withColumns(key).join(small(written(found.select("k", "h").distinct())), ["k", "h"], "left_semi")
     counted = texts.groupBy("doc_id", "k", "h").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    counted = counted.select("doc_id", "k", "h", "copies", shingles(F.col("text")).alias("sh"))
-    of = known.groupBy("license").agg(F.array_distinct(F.flatten(F.collect_list("sh"))).alias("t"))
-    rows = found.join(counted, ["k", "h"]).join(of, "license")
-    start = F.greatest(F.lit(0), F.col("j") * STEP - F.size("t") + 1)
-    rows = rows.withColumn("start", start).withColumn("region", F.slice("sh", F.col("start") + 1, 2 * F.size("t") + WINDOW - 1))
-    rows = rows.withColumn("containment", F.size(F.array_intersect("t", "region")) / F.size("t")).where(F.col("containment") >= containment)
-    first = F.col("start") + F.array_position(F.transform("region", lambda x: F.array_contains("t", x)), True).cast("int") - 1
-    best = rows.withColumn("first", first).groupBy("doc_id", "k", "h", "copies", "license")
-    best = best.agg(F.max("containment").alias("containment"), F.min("first").alias("first_word"))
+    places = counted.select("doc_id", "k", "h", "copies", F.posexplode(shingles(F.col("text"))).alias("at", "s"))
+    of = known.select("lid", F.explode("sh").alias("s")).distinct()
+    hits = places.join(small(written(of), SENT), "s").join(found, ["k", "h", "lid"], "left_semi")
+    hits = hits.groupBy("doc_id", "k", "h", "copies", "lid").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("hits"))
+    sizes = of.groupBy("lid").agg(F.count("*").cast("int").alias("n")).join(known.select("lid", "license").distinct(), "lid")
+    rows = hits.join(small(written(sizes)), "lid")
+    # starts from which enough hits follow within 2n shingles; then the different ones among these
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(containment - 1e-9))).cast("int")
+    starts = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda i: F.coalesce(F.get("hits", i + need - 1)["at"] < F.get("hits", i)["at"] + 2 * F.col("n"), F.lit(False)))
+    near = lambda i: F.filter(F.slice("hits", i + 1, 2 * F.col("n")), lambda x: x["at"] < F.get("hits", i)["at"] + 2 * F.col("n"))
+    share = lambda i: F.size(F.array_distinct(F.transform(near(i), lambda x: x["s"]))) / F.col("n")
+    good = F.filter(F.transform(starts, lambda i: F.struct(share(i).alias("containment"), F.get("hits", i)["at"].alias("at"))), lambda x: x["containment"] >= containment)
+    best = rows.withColumn("good", good).where(F.size("good") > 0)
+    best = best.withColumns({"containment": F.array_max(F.transform("good", lambda x: x["containment"])), "first_word": F.array_min(F.transform("good", lambda x: x["at"]))})
     out = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("doc_id", "license", "containment", "first_word")
 
