@@ -356,12 +356,12 @@ def _(read):
 _SMALL = ("quantity", "discount", "tax", "linenumber", "label")
 
 
-@_query("m1_moments", "with " + _LINES + " " + " union all ".join(f"select '{a}' as name_i, '{b}' as name_j, count(*) as n, round(avg({a}), 6) as mean, round(covar_pop({a}, {b}), 6) as covariance from lines" for i, a in enumerate(_SMALL) for b in _SMALL[i:]))
+@_query("m1_moments", "with " + _LINES + " " + " union all ".join(f"select '{a}' as name_i, '{b}' as name_j, count(*) as n, round(avg({a}), 9) as mean, round(covar_pop({a}, {b}), 6) as covariance from lines" for i, a in enumerate(_SMALL) for b in _SMALL[i:]))
 def _(read):
     df = line_returns(read)
     m = stats.moments(df, list(_SMALL[:-1]), "label")
     (n, s, _), c = m.total(), m.centred()
-    rows = [(a, b, int(n), round(float(m.shift[i] + s[i] / n), 6), round(float(c[i, j] / n), 6)) for i, a in enumerate(_SMALL) for j, b in enumerate(_SMALL) if i <= j]
+    rows = [(a, b, int(n), round(float(m.shift[i] + s[i] / n), 9), round(float(c[i, j] / n), 6)) for i, a in enumerate(_SMALL) for j, b in enumerate(_SMALL) if i <= j]
     return df.sparkSession.createDataFrame(rows, "name_i string, name_j string, n long, mean double, covariance double")
 
 
