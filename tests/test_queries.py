@@ -20,7 +20,7 @@ def test_query(spark, name):
     assert got
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("lineitem", "orders", "customer", "documents", "events"):
+        for t in ("lineitem", "orders", "customer", "documents", "events", "nation"):
             con.sql(f"create view {t} as from '{SF}/{t}.parquet'")
         out = con.sql(ORACLES[name])
         assert sorted(out.columns) == sorted(df.columns)
