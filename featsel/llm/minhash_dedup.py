@@ -151,10 +151,10 @@ def _similar_signatures(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long, matches long")
 
 
-def _between_groups(members: DataFrame, percent: int, best: bool, scratch: Scratch) -> DataFrame:
+def _between_groups(members: DataFrame, long: DataFrame, percent: int, best: bool, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) of different groups inside a bucket that the sequential test doesn't prune.
 
-    `members`: band, bands (all of u's), u, g (group), sig. A bucket is cut into blocks of BLOCK members and every two
+    `members`: band, u, g (group); `long`: u, sig, bands (all of u's), which join once the members are dealt out. A bucket is cut into blocks of BLOCK members and every two
     of its blocks meet in a task of their own, so that a task holds two blocks however large the
     bucket is, and pairs are compared without being written; a pair that shares several buckets is
     returned in the first of its bands only. best: only the best partner of each
@@ -168,7 +168,7 @@ def _between_groups(members: DataFrame, percent: int, best: bool, scratch: Scrat
         F.when(few, F.pmod(F.xxhash64("band"), F.lit(packs))).otherwise(F.col("band")).alias("pack"),
         F.when(few, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"),
     )
-    rows = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    rows = members.join(small(written(sizes, scratch)), "band").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("*", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
@@ -198,6 +198,7 @@ def _between_groups(members: DataFrame, percent: int, best: bool, scratch: Scrat
         a, b = map(np.concatenate, out)
         return pa.table({"u": pa.array(np.minimum(a, b)), "v": pa.array(np.maximum(a, b))})
 
+    rows = rows.join(long, "u")
     return rows.groupBy("pack", "lo", "hi", "blocks").applyInArrow(run, "u long, v long").distinct()
 
 
@@ -228,7 +229,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch
     return written(linked.coalesce(max(8, n // 2_000)), scratch)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, tables: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group), kept (one row per group).
 
     1. Every text becomes its set of 5-word shingles; equal sets (a group of exact copies, however
@@ -247,10 +248,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     A null or blank text has no shingles, links with nothing and is kept. A null doc_id takes no
     part: component_id null, kept true. Rows that share a doc_id count as one document with
     several texts. Columns other than doc_id and text are ignored; an empty table gives no rows.
+    With `tables` the written tables that the result reads go when that is dropped.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
-    seen = written(signatures(docs))
+    seen = written(signatures(docs), tables)
     sets = written(
         seen.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), scratch
     )
@@ -271,18 +273,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = _confirmed(docs, written(best, scratch), percent, scratch)
     long = None
     for only_best in (True, False):
-        groups = connected_components(links).select(F.col("node").alias("u"), F.col("component").alias("g"))
+        groups = small(written(connected_components(links).select(F.col("node").alias("u"), F.col("component").alias("g")), scratch))
         member = written(shared.withColumnRenamed("node", "u").join(groups, "u", "left").select("band", "u", F.coalesce("g", "u").alias("g")), scratch)
         open_ = written(member.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("band"), scratch)
-        member = member.join(open_, "band", "left_semi")
+        member = member.join(small(open_), "band", "left_semi")
         if long is None:
-            ids = written(member.select(F.col("u").alias("doc_id")).distinct(), scratch)
-            long = written(_long_signatures(docs.join(small(ids), "doc_id", "left_semi")), scratch)
-        member = member.join(long, "u").join(reps.select(F.col("doc_id").alias("u"), "bands"), "u")
-        left = _between_groups(written(member, scratch), percent, only_best, scratch)
+            ids = small(written(member.select(F.col("u").alias("doc_id")).distinct(), scratch))
+            long = _long_signatures(docs.join(ids, "doc_id", "left_semi"))
+            long = written(long.join(reps.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), "bands"), "u"), scratch)
+        left = _between_groups(written(member, scratch), long, percent, only_best, scratch)
         links = written(links.union(_confirmed(docs, written(left, scratch), percent, scratch)), scratch)
 
-    groups = written(connected_components(links.union(copies)))
+    groups = written(connected_components(links.union(copies)), tables)
     scratch.drop()
     out = seen.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
@@ -304,7 +306,10 @@ def one_of_each_group(docs: DataFrame, percent: int = 75) -> DataFrame:
     text, two = F.col("text").cast("string"), F.lit(2**62)
     by_text = two + F.shiftrightunsigned(F.xxhash64(text), 2)  # above any other doc_id
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), by_text).alias("_id"), text.alias("text"))
-    gone = written(near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), percent).where("not kept").select(F.col("doc_id").alias("_id")).distinct())
+    tables = Scratch(docs.sparkSession)
+    found = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), percent, tables)
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct())
+    tables.drop()
     rows = rows.join(small(gone), "_id", "left_anti")
     again = small(written(rows.groupBy("_id").count().where("count > 1").select("_id")))
     once = rows.join(again, "_id", "left_anti")

@@ -102,14 +102,14 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _candidate_windows(docs: DataFrame) -> DataFrame:
-    """(text, key, idx: places of repeated anchors in order) -> every window that contains one of
-    them within the cover's reach: key, its first word, and its 128-bit hash."""
+    """(tid, text, key, idx: places of repeated anchors) -> every window that contains one of
+    them within the cover's reach: tid, its first word, and its 128-bit hash. Rows whose text has another key are left out."""
     cover, width = np.array(difference_cover(PERIOD)), WINDOW - PERIOD + 1
 
     def run(batches):
         hashed = WordHash()
         for batch in slices(batches, 64):
-            keys, idx, out = batch.column("key"), batch.column("idx"), [[], [], [], []]
+            keys, idx, tid, out = batch.column("key"), batch.column("idx"), batch.column("tid"), [[], [], [], []]
             for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 words = text.split()
                 if _key(words) != keys[k].as_py():
@@ -127,9 +127,9 @@ def _candidate_windows(docs: DataFrame) -> DataFrame:
                 out[3].append(run_hashes(mixed(h ^ _SECOND), WINDOW)[starts].view(np.int64))
             if out[0]:
                 who, *rest = map(np.concatenate, out)
-                yield pa.record_batch([keys.take(pa.array(who)), *map(pa.array, rest)], names=["key", "first", "h1", "h2"])
+                yield pa.record_batch([tid.take(pa.array(who)), *map(pa.array, rest)], names=["tid", "first", "h1", "h2"])
 
-    return docs.select("text", "key", "idx").mapInArrow(run, "key binary, first int, h1 long, h2 long")
+    return docs.select("tid", "text", "key", "idx").mapInArrow(run, "tid long, first int, h1 long, h2 long")
 
 
 class Repeats:
@@ -138,32 +138,34 @@ class Repeats:
     scanned: one row per document (row_id, n_words, key, sha, copies: documents with this word sequence)
     windows: key, firsts (first words of its repeated windows), for every word sequence that has
     any and that only one document has; a sequence that several documents have and that fills a
-    window is repeated as a whole.
+    window is repeated as a whole. With `scratch` these tables go when that is dropped.
     """
 
-    def __init__(self, docs: DataFrame):
-        scratch = Scratch(docs.sparkSession)
+    def __init__(self, docs: DataFrame, scratch: Scratch | None = None):
+        own = Scratch(docs.sparkSession)
         docs = docs.select("doc_id", _row_id().alias("row_id"), _text().alias("text"))
-        scanned = written(_scan(docs))
-        texts = written(scanned.groupBy("key").agg(F.count("*").alias("copies"), F.min("row_id").alias("rep")))
-        rep = texts.select("key", F.col("rep").alias("row_id"), F.lit(True).alias("one"))
+        # a number for each row, fixed by writing it; the least of its rows' numbers stands for a word sequence
+        scanned = written(_scan(docs).withColumn("tid", F.monotonically_increasing_id()), scratch)
+        texts = written(scanned.groupBy("key").agg(F.count("*").alias("copies"), F.min("tid").alias("tid")), scratch)
         # 1. anchors that occur more than once, in different texts or in one
-        single = scanned.join(rep, ["key", "row_id"], "left_semi").dropDuplicates(["key"])
-        anchors = single.where("n_words >= %d" % WINDOW).select("key", F.posexplode("anchors").alias("idx", "anchor"))
+        copied = texts.where("copies > 1")
+        long = scanned.where(f"n_words >= {WINDOW}").select("tid", "key", "anchors")
+        once = long.join(small(copied.select("key")), "key", "left_anti").unionByName(long.join(small(copied.select("tid")), "tid", "left_semi").select(long.columns))
+        anchors = once.select("tid", F.posexplode("anchors").alias("idx", "anchor"))
         # what is counted is written before it is joined back: a join of two plain shuffles is one that Spark splits at hot keys
-        often = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), scratch)
-        marks = anchors.join(small(often), "anchor").groupBy("key").agg(F.collect_list("idx").alias("idx"))
-        marks = written(marks.join(rep, "key").select("key", "row_id", "idx"), scratch)
+        often = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), own)
+        marks = written(anchors.join(often, "anchor").groupBy("tid").agg(F.collect_list("idx").alias("idx")), own)
+        marks = written(marks.join(scanned.select("tid", "row_id", "key"), "tid"), own)
         # 2. the windows around them, compared as wholes
         marked = docs.join(small(marks.select("row_id").distinct()), "row_id", "left_semi").select("row_id", "text")
-        windows = written(_candidate_windows(marked.join(marks, "row_id")), scratch)
-        twice = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), scratch)
-        found = windows.join(small(twice), ["h1", "h2"]).groupBy("key").agg(F.collect_list("first").alias("firsts"))
-        lone = texts.where("copies = 1").select("key", F.col("rep").alias("row_id"))
+        windows = written(_candidate_windows(marked.join(marks, "row_id")), own)
+        twice = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), own)
+        found = windows.join(twice, ["h1", "h2"]).groupBy("tid").agg(F.collect_list("first").alias("firsts"))
+        lone = marks.select("tid", "row_id", "key").join(small(copied.select("tid")), "tid", "left_anti")
         self.docs = docs
-        self.windows = written(found.join(lone, "key").select("key", "row_id", "firsts"))
-        self.scanned = scanned.drop("anchors").join(texts.select("key", "copies"), "key")
-        scratch.drop()
+        self.windows = written(found.join(lone, "tid").select("key", "row_id", "firsts"), scratch)
+        self.scanned = scanned.drop("anchors", "tid").join(texts.select("key", "copies"), "key")
+        own.drop()
 
     def whole(self) -> DataFrame:
         """Documents that repeat as a whole: row_id, key."""
@@ -224,8 +226,10 @@ def repeated_words(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with the text of each document cut to its words outside repeated windows (joined by
     one space); texts that lose nothing stay as they are, and every row stays."""
-    found = Repeats(docs.select("doc_id", "text"))
+    scratch = Scratch(docs.sparkSession)
+    found = Repeats(docs.select("doc_id", "text"), scratch)
     cut = written(found.shortened().select("row_id", "key", "kept").union(found.whole().selectExpr("row_id", "key", "''")))
+    scratch.drop()
     ids = small(cut.select("row_id").distinct())
     rows = docs.select(F.struct(*docs.columns).alias("row"), _row_id().alias("row_id"), _text().alias("text"))
     changed = rows.join(ids, "row_id", "left_semi").withColumn("key", _keys("text"))
