@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,14 +120,14 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
     return post, right / voted, float(share)
 
 
+# What stands for a byte in a word's shape: a letter, A, digit or blank for its class, any other byte for itself.
+_SHAPE = bytes((97, 65, 48, 32, b, b)[k] for b, k in enumerate(_KIND.tolist()))
+_AGAIN = re.compile(rb"(.)\1+", re.DOTALL)
+
+
 def _shape(word: bytes) -> bytes:
     """Runs of letters become a, A or Aa, digits 0; symbols stay, each once in a row."""
-    out = bytearray()
-    for k, b in zip(_KIND[list(word)].tolist(), word):
-        c = (97, 65, 48, 32, b, b)[k]
-        if not out or out[-1] != c:
-            out.append(c)
-    return bytes(out)
+    return _AGAIN.sub(rb"\1", word.translate(_SHAPE))
 
 
 class Remembered(dict):
@@ -146,8 +147,8 @@ class Remembered(dict):
 
 def dimensions(word: bytes) -> tuple[int, int, int]:
     """A word's hashed dimensions: the word itself, its shape and its last three bytes."""
-    at = lambda tag, x: xxhash.xxh3_64_intdigest(tag + x) % DIMS
-    return at(b"w", word.lower()), at(b"s", _shape(word)), at(b"e", word[-3:].lower())
+    low, digest = word.lower(), xxhash.xxh3_64_intdigest
+    return digest(b"w" + low) % DIMS, digest(b"s" + _shape(word)) % DIMS, digest(b"e" + low[-3:]) % DIMS
 
 
 def extras(words: list[bytes]) -> tuple[tuple[int, float], ...]:
@@ -233,8 +234,13 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
 
     @F.arrow_udf("double")
     def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        w = sent.value
-        weight = Remembered(lambda word: float(sum(w[i] for i in dimensions(word))))
+        w = sent.value.tolist()
+
+        def weigh(word: bytes) -> float:
+            a, b, c = dimensions(word)
+            return w[a] + w[b] + w[c]
+
+        weight = Remembered(weigh)
         for batch in texts:
             out = []
             for part in slices([batch]):
