@@ -16,6 +16,9 @@ MODULES = {
     "op8_fingerprints": "fingerprints",
     "op9_substring_dedup": "substring_dedup",
     "op10_license_scans": "short_notices",
+    "op11_vector_codes": "vector_codes",
+    "op12_collocations": "collocations",
+    "op13_embedding_dedup": "embedding_dedup",
 }
 
 
