@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featsel.functions import text
-from featsel.jobs import selection
+from featsel.jobs import replay, selection
 from featsel.operators import evaluate, objective, positions, prepare, report, search, stats
+from featsel.sinks import shared
 from featsel.sinks import tables as sinks
-from featsel.sources import synthetic, tables
+from featsel.sources import synthetic, tables, workbooks
 
 COLUMNS = ["quantity", "extendedprice", "discount", "tax", "linenumber", "status_o", "ship_days"]
 K = 3
@@ -185,12 +186,6 @@ def _(read):
     return out.withColumns({c: F.round(c, 6) for c in ("variety", "digit_share")})
 
 
-@_query("p7_text_measures_words")
-def _(read):
-    """All four measures of whole texts, so that none is pruned."""
-    return text.text_measures(read("documents").select("doc_id", "text"), "text").drop("text")
-
-
 @_query("a1_median_fill", "with m as (select median(o_totalprice) filter (o_orderstatus <> 'F') as v from orders) select o_orderkey, round(case when o_orderstatus <> 'F' then o_totalprice else v end, 6) as price from orders, m")
 def _(read):
     df = read("orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("price"))
@@ -210,12 +205,6 @@ def _(read):
     return prepare.document_frequency(read("documents"), "text")
 
 
-@_query("a4_document_frequency_texts")
-def _(read):
-    """Document frequency of every token of the whole texts."""
-    return prepare.document_frequency(read("documents"), "text")
-
-
 def _profile_sql(table: str, columns: tuple[str, ...]) -> str:
     """The measures of some columns without dates, as a union of one row each."""
     one = f"""select '{{0}}' as name, count(*) as n_rows, count_if(not {_MISSING})::bigint as present, count_if(not {_MISSING} and {_NUMBER})::bigint as numeric,
@@ -305,24 +294,81 @@ def _sets(rel: DataFrame, red: DataFrame) -> dict[str, list[int]]:
     return {"chosen": sorted(best), "top": sorted(top), "all": [r["idx"] for r in objective.select_all(rel).collect()]}
 
 
-@_query("e8_evaluate_sets")
+_BEST = ", best as (select state from energy order by round(energy, 9), state limit 1), chosen as (select idx from rels, best where (state >> idx) & 1 = 1)"
+_TOP = f", top as (select idx from rels order by rels.r desc, idx limit {K})"
+
+
+def _three_sets(chosen: str, top: str, all_: str, n: int) -> str:
+    """CTE `sets` of the best, the top-relevance and the full set, as bit masks."""
+    return f", sets as (select '{chosen}' as set_id, state from best union all select '{top}', sum(1 << idx)::bigint from top union all select '{all_}', {2**n - 1})"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("score", "secondary", "loss") if c in df.columns})
+
+
+_COMPARED = "with recursive " + _SQL[5:] + _BEST + _TOP + _three_sets("chosen", "top", "all", len(COLUMNS)) + replay.dealt("lines", "row_id", "label", 42) + replay.models(COLUMNS, "label")
+_WEIGHTS = " select set_id, fold::int as fold, (i - 1)::int as idx, round(v[i], 6) as weight, round(b0, 6) as intercept from weights, range(1, 8) t(i)"
+
+
+def _weights(spark: SparkSession, models: dict) -> DataFrame:
+    rows = [(s, f, i, round(float(x), 6), round(float(b), 6)) for (s, f), (w, b) in models.items() for i, x in enumerate(w)]
+    return spark.createDataFrame(rows, "set_id string, fold int, idx int, weight double, intercept double")
+
+
+def _dealt(read) -> tuple[DataFrame, stats.Moments]:
+    df = positions.assign_folds(line_returns(read), 3, 42, "row_id", "label")
+    return df, stats.moments(df, COLUMNS, "label", "fold")
+
+
+@_query("e2_linear_fit", _COMPARED + replay.linear(COLUMNS) + _WEIGHTS)
+def _(read):
+    """Weights of the linear models of every set and fold, from moments alone."""
+    df, m = _dealt(read)
+    out = {}
+    for name, chosen in _sets(*_statistics(read)).items():
+        for fold, (w, b) in evaluate.fit_linear(m, chosen).items():
+            full = dict(zip(chosen, w))
+            out[name, fold] = [full.get(i, 0.0) for i in range(len(COLUMNS))], b
+    return _weights(df.sparkSession, out)
+
+
+@_query("e3_logistic_fit", _COMPARED + replay.logistic(COLUMNS, "label") + _WEIGHTS)
+def _(read):
+    """Weights of the logistic models of every set and fold, trained together."""
+    df, m = _dealt(read)
+    return _weights(df.sparkSession, evaluate.fit_logistic(df, m, _sets(*_statistics(read)), "fold"))
+
+
+@_query("e8_evaluate_sets", _COMPARED + replay.logistic(COLUMNS, "label") + replay.predicted(COLUMNS, "label", True) + replay.scores(True) + replay.report(True))
 def _(read):
     """AUC, accuracy and log loss of the chosen, the top-relevance and the full set, on the same folds."""
-    return evaluate.evaluate_subsets(line_returns(read), COLUMNS, "label", "classification", _sets(*_statistics(read)), "row_id", seed=42)
+    return _rounded(evaluate.evaluate_subsets(line_returns(read), COLUMNS, "label", "classification", _sets(*_statistics(read)), "row_id", seed=42))
+
+
+def _frontier_sql(names: list[str], target: str, sizes: tuple[int, ...]) -> str:
+    """Relevance and redundancy of `lines`, and for every size the best set (chosen: k, state) and the top of the ranking (top)."""
+    rel = ", rel as (" + " union all ".join(f"select {i} as idx, '{c}' as name, {_ONE(c, target)} as r_raw from lines" for i, c in enumerate(names)) + "), rels as (select idx, name, r_raw, r_raw / max(r_raw) over () as r from rel)"
+    red = ", red as (" + " union all ".join(f"select {i} as i, {j} as j, {_ONE(a, b)} as value from lines" for i, a in enumerate(names) for j, b in enumerate(names) if i < j) + ")"
+    return rel + red + f""", sizes as (select unnest({list(sizes)}) as k), states as (select k, s as state from range({2 ** len(names)}) t(s), sizes where bit_count(s::int) = k
+), terms as (select k, idx as i, idx as j, -r + 2.5 * (1 - 2 * k) as coeff from rels, sizes union all select k, i, j, 0.65 / greatest(1, k - 1) * greatest(0, value) + 5.0 from red, sizes
+), energy as (select k, state, sum(coeff) as e from states join terms using (k) where (state >> i) & 1 = 1 and (state >> j) & 1 = 1 group by k, state
+), chosen as (select k, state from energy qualify row_number() over (partition by k order by round(e, 9), state) = 1
+), top as (select k, sum(1 << idx)::bigint as state from (select idx, row_number() over (order by rels.r desc, idx) as place from rels), sizes where place <= k group by k)"""
+
+
+_PRICED = [c for c in COLUMNS if c != "extendedprice"] + ["label"]
 
 
-@_query("q10_frontier_linear")
+@_query("q10_frontier_linear", "with recursive " + _LINES + _frontier_sql(_PRICED, "extendedprice", (1, 3, 5, 7)) + ", sets as (select 'chosen ' || k as set_id, state from chosen union all select 'top ' || k, state from top)"
+    + replay.dealt("lines", "row_id", None, 42) + replay.models(_PRICED, "extendedprice") + replay.linear(_PRICED) + replay.predicted(_PRICED, "extendedprice", False) + replay.scores(False) + replay.report(False))
 def _(read):
     """R^2 and RMSE of linear models on the best set of every frontier size: one search of all sizes, one pass of moments."""
-    names = [c for c in COLUMNS if c != "extendedprice"] + ["label"]
     df = line_returns(read)
-    spark, m = df.sparkSession, stats.moments(df, names, "extendedprice")
+    spark, m = df.sparkSession, stats.moments(df, _PRICED, "extendedprice")
     rel, red, best, top = selection.choose(spark, m, K, objective.LAMBDA, "fast", 42)
     sets = {f"chosen {k}": best[k]["selected"] for k in best} | {f"top {k}": top[k] for k in top}
-    return evaluate.evaluate_subsets(df, names, "extendedprice", "regression", sets, "row_id", seed=42)
-
-
-_BITS = "list_filter(range(7), b -> (state >> b) & 1 = 1)"
+    return _rounded(evaluate.evaluate_subsets(df, _PRICED, "extendedprice", "regression", sets, "row_id", seed=42))
 
 
 @_query("q10_frontier", "with " + _LINES + _REL + _RED + """, sizes as (select unnest([1, 3, 5, 7]) as k), states as (select k, s as state from range(128) t(s), sizes where bit_count(s::int) = k
@@ -375,10 +421,10 @@ def _(read):
 
 
 # Preparation: lines with gaps in numbers, percent texts, dates, categories with missing values, an identifier and a constant.
-def mixed_lines(read) -> DataFrame:
+def mixed_lines(read, more_key: tuple[str, ...] = ()) -> DataFrame:
     line = F.col("l_linenumber")
     return read("lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), F.when(line != 3, F.col("l_quantity")).alias("quantity"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", *more_key).alias("row_id"), F.when(line != 3, F.col("l_quantity")).alias("quantity"),
         F.when(line % 5 != 4, F.concat(F.round(F.col("l_discount") * 100).cast("int"), F.lit(" %"))).alias("discount"), F.col("l_shipdate").alias("shipped"),
         F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), F.concat(F.lit("K"), "l_orderkey", F.lit("x"), "l_linenumber").alias("code"),
         F.lit("same").alias("same"), F.when(line != 7, F.col("l_linestatus")).alias("status"),
@@ -541,8 +587,6 @@ def _(read):
     return report.insight(pair).drop("finding_text")
 
 
-_BEST = ", best as (select state from energy order by round(energy, 9), state limit 1), chosen as (select idx from rels, best where (state >> idx) & 1 = 1)"
-_TOP = f", top as (select idx from rels order by rels.r desc, idx limit {K})"
 _FEATURES = """ select row_number() over (order by idx in (from chosen) desc, round(r, 6) desc, idx)::int as position, name, idx in (from chosen) as selected, idx in (from top) as greedy, round(r, 6) as relevance,
   round(coalesce((select avg(value) from (select i, j, value from red union all select j, i, value from red) x where x.i = idx and x.j in (from chosen)), 0), 6) as selected_redundancy from rels"""
 
@@ -564,6 +608,21 @@ def _(read):
     return report.feature_table(rel, red, sets["chosen"], sets["top"])
 
 
+@_query("k4_result_document", _SQL + _BEST + _TOP + _FEATURES)
+def _(read):
+    """The tables of a selection written as one JSON document; its list of features, read again."""
+    rel, red = _statistics(read)
+    sets, spark = _sets(rel, red), rel.sparkSession
+    terms = objective.exported_terms(objective.build_terms(rel, red, K), rel)
+    pair = spark.createDataFrame([("chosen", i) for i in sets["chosen"]], "set_id string, idx int")
+    energy = spark.createDataFrame([("chosen", None)], "set_id string, energy double")
+    found = {"selection": report.selection_summary(pair, rel, red, energy).drop("set_id"), "features": report.feature_table(rel, red, sets["chosen"], sets["top"]), "terms": terms}
+    at = f"{shared.new_folder(spark)}/result.json"
+    sinks.write_document(found, at)
+    kind = found["features"].schema.simpleString().replace("struct<", "selection struct<k:int,names:array<string>>, features array<struct<", 1) + ">"
+    return spark.read.schema(kind).json(at).select(F.inline("features"))
+
+
 def _statistics_sql(names: tuple[str, ...], k: int) -> str:
     """Relevance, redundancy, terms and energies of all sets of k inputs of `lines`."""
     q = [f'"{c}"' for c in names]
@@ -580,10 +639,15 @@ def _(read):
     return selection.select_features(mixed_lines(read), "status", K, quality="fast", id_col="row_id").features.drop("position")
 
 
-@_query("r5_benchmark")
+_QUOTED = [f'"{c}"' for c in _MIXED_NAMES]
+_LINE_KEY = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice"
+
+
+@_query("r5_benchmark", "with recursive " + _MIXED.replace("l_orderkey || '-' || l_linenumber as", _LINE_KEY + " as") + _statistics_sql(_MIXED_NAMES, K) + _BEST + _TOP + _three_sets("qubo", "greedy", "all_features", len(_QUOTED)) + replay.dealt("lines", "id", "label", 91)
+    + replay.models(_QUOTED, "label") + replay.logistic(_QUOTED, "label") + replay.predicted(_QUOTED, "label", True) + replay.scores(True) + replay.report(True, "set_id as method"))
 def _(read):
-    """The whole job's comparison of the chosen, the most relevant and all inputs."""
-    return selection.select_features(mixed_lines(read), "status", K, quality="fast", id_col="row_id").benchmark
+    """The whole job's comparison of the chosen, the most relevant and all inputs. Rows have keys of their own, as folds follow them."""
+    return selection.select_features(mixed_lines(read, ("l_partkey", "l_suppkey", "l_extendedprice")), "status", K, quality="fast", id_col="row_id").benchmark
 
 
 @_query("s6_clean_headers", "select n_nationkey as key, n_name as key_2, n_regionkey as column_3 from nation")
@@ -613,21 +677,12 @@ def _(read):
     return text.drop_blank_records(read("orders").select(F.when(k > 0, F.col("o_orderkey")).alias("o_orderkey"), F.when(k == 1, F.col("o_orderstatus")).when(k == 0, "  ").alias("status")))
 
 
-def _place(spark: SparkSession) -> str:
-    """A new folder that driver and executors share (a temporary one in local mode)."""
-    import tempfile
-    import uuid
-
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named or 'file://' + tempfile.mkdtemp(prefix='featsel-')}/featsel-{uuid.uuid4().hex}"
-
-
 @_query("s1_delimited", "select o_orderkey::varchar as o_orderkey, o_orderstatus || chr(10) || '\"' || o_orderpriority || '\"; x' as remark, o_custkey::varchar as o_custkey_2 from orders")
 def _(read):
     """Orders written with quoted line breaks, quotes and separators, and read again."""
     remark = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('"; x'))
     df = read("orders").select("o_orderkey", remark.alias("remark"), F.col("o_custkey").alias(" o_custkey_2 "))
-    at = _place(df.sparkSession)
+    at = shared.new_folder(df.sparkSession)
     df.write.options(sep=";", header=True, escape='"').csv(at)
     return tables.read_delimited(df.sparkSession, at)
 
@@ -636,7 +691,7 @@ def _(read):
 def _(read):
     """Orders written as JSON lines among lines that hold no object, and read again."""
     df = _records(read)
-    at = _place(df.sparkSession)
+    at = shared.new_folder(df.sparkSession)
     lines = F.explode(F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("[1]"), F.to_json(F.struct("*")), F.lit("7"))).otherwise(F.array(F.to_json(F.struct("*")))))
     df.select(lines.alias("value")).write.text(at)
     return tables.read_json_lines(df.sparkSession, at).select(*df.columns)
@@ -646,12 +701,35 @@ def _(read):
 def _(read):
     """Orders written as eight JSON documents with their records under `rows`, and read again."""
     df = read("orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderkey") % 8).alias("g"))
-    at = _place(df.sparkSession)
+    at = shared.new_folder(df.sparkSession)
     docs = df.groupBy("g").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.collect_list(F.struct("o_orderkey", "o_orderpriority")).alias("rows"))).alias("value"))
     docs.write.partitionBy("g").text(at)
     return tables.read_json_document(df.sparkSession, at + "/*")
 
 
+@_query("s4_workbooks", "select o_orderkey::varchar as o_orderkey, coalesce(case when o_orderkey % 5 > 0 then o_orderpriority end, '') as priority, case when o_orderkey % 3 = 0 then '<&> \"' || o_orderstatus else o_orderstatus end as note from orders")
+def _(read):
+    """Orders written as workbooks, one a task, and read again, one a partition."""
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('<&> "'), "o_orderstatus")).otherwise(F.col("o_orderstatus"))
+    df = read("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("priority"), note.alias("note"))
+    at = shared.new_folder(df.sparkSession)
+    workbooks.write_workbooks(df.repartition(8, "o_orderkey"), at)
+    return workbooks.read_workbooks(df.sparkSession, at)
+
+
+@_query("s5_any_table", "select o_orderkey::varchar as o_orderkey, o_orderstatus, case o_orderkey % 4 when 0 then o_orderpriority end as only_csv, case o_orderkey % 4 when 1 then o_custkey::varchar end as only_json from orders")
+def _(read):
+    """Orders written into one folder as delimited text, JSON lines, workbooks and columns, and read as one table, each file by its kind."""
+    df = read("orders")
+    spark, at, part = df.sparkSession, shared.new_folder(df.sparkSession), lambda k: df.where(F.col("o_orderkey") % 4 == k)
+    part(0).select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("only_csv")).write.options(sep="|", header=True).csv(f"{at}/text")
+    part(1).select("o_orderkey", "o_orderstatus", F.col("o_custkey").alias("only_json")).write.json(f"{at}/lines")
+    workbooks.write_workbooks(part(2).select("o_orderkey", "o_orderstatus").coalesce(2), f"{at}/books")
+    part(3).select("o_orderkey", "o_orderstatus").write.parquet(f"{at}/columns")
+    out = tables.read_table(spark, at)
+    return out.select("o_orderkey", "o_orderstatus", "only_csv", "only_json")
+
+
 def _uniform_sql(seed: int, name: str, at: int = 1) -> str:
     return f"((('0x' || substr(md5('{seed}:{name}:' || o_orderkey), {at}, 13))::bigint::double + 1) / 4503599627370496.0)"
 

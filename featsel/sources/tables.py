@@ -2,90 +2,58 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from featsel.functions.text import clean_headers, named
+from featsel.functions.text import as_text, clean_headers, named
+from featsel.sources.delimited import files_of, head_of, read_delimited, separator, strings
+from featsel.sources.workbooks import read_workbooks
 
-_SEPARATORS = "\t,;|"
-#: Characters of a text's head that are looked at to find its separator.
-HEAD = 32_768
-#: JSON records whose keys become columns.
+__all__ = ["read_delimited", "read_json_document", "read_json_lines", "read_table", "read_workbooks", "separator"]
+
+#: JSON records that give the order of the columns.
 KEYS_OF = 500
 # Where an object that wraps a table may keep its records, in this order.
 WRAPPERS = ("records", "rows", "data", "items")
 
 
-def _strings(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
-def _head(spark: SparkSession, path: str, encoding: str) -> str:
-    """The first lines of a text file in its encoding, with what is quoted left as it is."""
-    lines = spark.read.options(sep="\x01", quote="", encoding=encoding, multiLine=True, header=False).schema("line string").csv(path).limit(200)
-    return "\n".join(r[0] or "" for r in lines.collect())[:HEAD].lstrip("﻿")
-
-
-def separator(head: str) -> str:
-    """The separator of a delimited text, from its first characters: what the csv module finds, else the first of tab, comma,
-    semicolon and bar that the first line that isn't blank holds. An error if there is none."""
-    try:
-        return csv.Sniffer().sniff(head, delimiters=_SEPARATORS).delimiter
-    except csv.Error:
-        first = next((x for x in head.splitlines() if x.strip()), "")
-        for sep in _SEPARATORS:
-            if sep in first:
-                return sep
-    raise ValueError("no comma, tab, semicolon or bar separates the columns of the header")
-
-
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
-    """All columns as text; the header is the first row that isn't blank. Short rows are padded with null, long ones cut; blank
-    lines are no rows. Only the head is read to find header and separator.
-
-    A quoted value may hold line breaks; a file is then read by one task. multi_line=False lets Spark split large files, and is
-    right if no value has a line break."""
-    head = _head(spark, path, encoding)
-    if not head.strip():
-        raise ValueError("the table is empty")
-    sep = sep or separator(head)
-    header = next((row for row in csv.reader(io.StringIO(head), delimiter=sep) if any(x.strip() for x in row)), None)
-    if not header:
-        raise ValueError("the table has no header")
-    reader = spark.read.schema(_strings(clean_headers(header))).options(sep=sep, header=True, enforceSchema=True, escape='"', encoding=encoding, multiLine=multi_line)
-    return reader.csv(path)
+def keys(lines: DataFrame, keys_of: int | None) -> list[str]:
+    """The keys of the objects among some lines of JSON (value): those of the first 500 as they come, then the others by name. With
+    `keys_of` only those of so many first objects. The others come from one pass that combines in each task; a table has no more keys
+    than it can have columns."""
+    objects = lines.where(F.ltrim("value").startswith("{"))
+    names: dict[str, None] = {}
+    for (line,) in objects.limit(keys_of or KEYS_OF).collect():
+        names |= dict.fromkeys(json.loads(line))
+    if names and not keys_of:
+        late = objects.select(F.explode(F.json_object_keys("value")).alias("k")).distinct().where(~F.col("k").isin(list(names)))
+        names |= dict.fromkeys(sorted(k for (k,) in late.collect()))
+    return list(names)
 
 
-def _records(lines: DataFrame, what: str) -> DataFrame:
+def _records(lines: DataFrame, what: str, keys_of: int | None) -> DataFrame:
     """A DataFrame (value: JSON of a record each) as a table of text. Values that are no objects are left out; what isn't JSON is an
-    error when the row is read, wherever it stands. Columns are the keys of the first records."""
+    error when the row is read, wherever it stands. Columns are the `keys` of the records."""
     lines = lines.where(F.trim("value") != "")
-    names: dict[str, None] = {}
-    for (line,) in lines.where(F.ltrim("value").startswith("{")).limit(KEYS_OF).collect():
-        names |= dict.fromkeys(json.loads(line))
+    names = keys(lines, keys_of)
     if not names:
         raise ValueError(f"the {what} has no records")
     error = F.raise_error(F.concat(F.lit(f"a record of the {what} is no JSON: "), F.left(F.col("value"), F.lit(80))))
     checked = F.when(F.try_parse_json("value").isNull(), error.cast("string")).otherwise(F.col("value"))
     rows = lines.select(checked.alias("value")).where(F.ltrim("value").startswith("{"))
-    return rows.select(F.from_json("value", _strings(list(names))).alias("r")).select("r.*").toDF(*clean_headers(list(names)))
+    return rows.select(F.from_json("value", strings(list(names))).alias("r")).select("r.*").toDF(*clean_headers(list(names)))
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One object a line, all values as text (nested ones as they are written); columns are the keys of the first 500 objects as they
-    come. Lines that hold a single value are left out (a list of objects counts as these); a line that is no JSON is an error."""
-    names: dict[str, None] = {}
-    for (line,) in spark.read.text(path).where(F.ltrim("value").startswith("{")).limit(KEYS_OF).collect():
-        names |= dict.fromkeys(json.loads(line))
+def read_json_lines(spark: SparkSession, path: str | list[str], keys_of: int | None = None) -> DataFrame:
+    """One object a line, all values as text (nested ones as they are written); columns are the `keys` of all objects, or with `keys_of` of
+    so many first ones. Lines that hold a single value are left out (a list of objects counts as these); a line that is no JSON is an error."""
+    names = keys(spark.read.text(path), keys_of)
     if not names:
         raise ValueError("the JSON lines have no records")
     bad = next(n for n in ("_bad", "_bad_line", "_bad_json_line") if n not in names)
-    rows = spark.read.schema(_strings([*names, bad])).options(mode="PERMISSIVE", columnNameOfCorruptRecord=bad).json(path)
+    rows = spark.read.schema(strings([*names, bad])).options(mode="PERMISSIVE", columnNameOfCorruptRecord=bad).json(path)
     line, some = F.col(bad), named(next(iter(names)))  # Spark wants a column besides the one of bad lines
     error = F.raise_error(F.concat(F.lit("a line is no JSON: "), F.left(line, F.lit(80)))).cast("boolean")
     good = F.when(line.isNull() & some.isNotNull(), True).when(line.isNull(), True).when(F.try_parse_json(line).isNotNull(), False).otherwise(error)
@@ -96,17 +64,17 @@ def _array(c: Column) -> Column:
     return F.from_json(c, "array<string>")
 
 
-def read_json_document(spark: SparkSession, path: str) -> DataFrame:
+def read_json_document(spark: SparkSession, path: str | list[str], keys_of: int | None = None) -> DataFrame:
     """A whole JSON document a file: a list of objects; an object that has one under records, rows, data or items; or an object of
     lists of equal length (a column each). All values as text. Anything else is an error. A document is read by one task."""
     docs = spark.read.text(path, wholetext=True)
-    wrapped = F.from_json("value", _strings(list(WRAPPERS)))
+    wrapped = F.from_json("value", strings(list(WRAPPERS)))
     inside = F.coalesce(*[F.when(F.ltrim(wrapped[w]).startswith("["), wrapped[w]) for w in WRAPPERS])
     listed = F.when(F.ltrim("value").startswith("["), F.col("value")).when(F.ltrim("value").startswith("{"), inside)
     broken = F.when(F.try_parse_json("value").isNull(), F.raise_error("the document is no JSON").cast("string")).otherwise(listed)
     docs = docs.select("value", broken.alias("list"))
     if docs.where("list is null").isEmpty():
-        return _records(docs.select(F.explode(_array(F.col("list"))).alias("value")), "JSON document")
+        return _records(docs.select(F.explode(_array(F.col("list"))).alias("value")), "JSON document", keys_of)
     columns = F.from_json("value", "map<string,string>")
     one = docs.where("list is null").select(columns.alias("m")).first()["m"]
     if not one or docs.where("list is not null").count() or not all((v or "").lstrip().startswith("[") for v in one.values()):
@@ -120,29 +88,12 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     return rows.toDF(*clean_headers(names))
 
 
-def first_bytes(spark: SparkSession, path: str, n: int = 64) -> bytes:
-    """The first bytes of a file, or of the first data file of a folder, through Spark's own file systems."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = sorted((str(s.getPath()), s) for s in fs.globStatus(where) or [])
-    if found and found[0][1].isDirectory():
-        found = sorted((str(s.getPath()), s) for s in fs.listStatus(found[0][1].getPath()) if s.isFile() and s.getPath().getName()[0] not in "._" and s.getLen())
-    if not found:
-        return b""
-    stream = fs.open(found[0][1].getPath())
-    try:
-        out = bytearray()
-        while len(out) < n and (b := stream.read()) >= 0:
-            out.append(b)
-        return bytes(out)
-    finally:
-        stream.close()
-
-
-def _one_object_a_line(spark: SparkSession, path: str) -> bool:
+def _one_object_a_line(head: bytes, whole: bool) -> bool:
     """Whether a text that begins with { has an object of its own in its first line that isn't blank, and another line after it or no
     list inside: what separates JSON lines from a document under the same suffix."""
-    lines = [line for (line,) in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    lines = [x for x in head.decode("utf-8-sig", "ignore").splitlines() if x.strip()]
+    if len(lines) == 1 and not whole:
+        return False
     try:
         row = json.loads(lines[0])
     except ValueError:
@@ -153,26 +104,67 @@ def _one_object_a_line(spark: SparkSession, path: str) -> bool:
     return len(lines) > 1 or not lists
 
 
-def read_table(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """By `format` or the path's suffix: parquet, orc, xlsx, jsonl, json, else delimited text; a file without such a suffix that
-    begins like a workbook or like JSON is read as that. JSON with an object in each line is read by lines, whatever its
-    suffix. The old .xls format and empty files are refused."""
-    from featsel.sources.workbooks import read_workbooks
-
-    kind = (format or path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2]).lower()
-    if kind in ("parquet", "orc"):
-        return getattr(spark.read, kind)(path)
-    if kind == "xls":
+#: Bytes of a file that tell its kind.
+KIND_BYTES = 1_048_576
+_READERS = {"delimited": read_delimited, "lines": read_json_lines, "document": read_json_document}
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
+    """What a file is, by its suffix and its first bytes: parquet, orc, workbook, lines or document (JSON), else delimited."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    suffix = name.rpartition(".")[2].lower()
+    if suffix in ("parquet", "orc"):
+        return suffix
+    if suffix == "xls":
         raise ValueError("the old binary workbook format isn't supported")
-    head = first_bytes(spark, path)
-    if not head:
-        raise ValueError("the table is empty")
-    if kind == "xlsx" or head.startswith(b"PK\x03\x04"):
-        return read_workbooks(spark, path)
-    if kind in ("jsonl", "ndjson"):
-        return read_json_lines(spark, path)
-    if kind == "json" or head.lstrip(b"\xef\xbb\xbf \t\r\n")[:1] in (b"[", b"{"):
-        return read_json_lines(spark, path) if _one_object_a_line(spark, path) else read_json_document(spark, path)
-    return read_delimited(spark, path)
+    if suffix == "xlsx":
+        return "workbook"
+    if suffix in ("jsonl", "ndjson"):
+        return "lines"
+    head = head_of(spark, path, KIND_BYTES)
+    if head.startswith(b"PK\x03\x04"):
+        return "workbook"
+    if head.startswith(b"PAR1"):
+        return "parquet"
+    if head.startswith(b"ORC"):
+        return "orc"
+    if suffix == "json" or head.lstrip(b"\xef\xbb\xbf \t\r\n")[:1] in (b"[", b"{"):
+        return "lines" if _one_object_a_line(head, len(head) < KIND_BYTES) else "document"
+    return "delimited"
 
 
+def read_table(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
+    """A file, a folder or a pattern, each file by its own kind (see `kind_of`; `format` overrides the suffix: parquet, orc, xlsx, jsonl, json,
+    csv). JSON with an object in each line is read by lines, whatever its suffix. Files of several kinds make one table of texts: columns
+    of equal names are one, in the order of the first files that have them; what a file doesn't have is null. The
+    old .xls format and empty files are refused."""
+    name = (format or path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2]).lower()
+    if name in ("parquet", "orc"):
+        return getattr(spark.read, name)(path)
+    if name == "xls":
+        raise ValueError("the old binary workbook format isn't supported")
+    files = files_of(spark, path)
+    if not files:
+        raise ValueError("the table is empty")
+    given = {"xlsx": "workbook", "jsonl": "lines", "ndjson": "lines", "csv": "delimited", "tsv": "delimited"}.get((format or "").lower())
+    # the files of a kind are read together; parts of one written table have one suffix, so only the first of each is looked at
+    groups: dict[tuple[str, str], list[str]] = {}
+    seen: dict[str, str] = {}
+    for f in files:
+        suffix = f.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in f.rsplit("/", 1)[-1] else f
+        kind = given or seen.setdefault(suffix, "") or kind_of(spark, f)
+        seen[suffix] = kind
+        groups.setdefault((kind, suffix if kind == "delimited" else ""), []).append(f)  # separators go with suffixes
+    tables = []
+    for (kind, _), some in groups.items():
+        if kind == "workbook":
+            tables.append(read_workbooks(spark, path, some))
+        elif kind in ("parquet", "orc"):
+            df = getattr(spark.read, kind)(*some)
+            tables.append(df if len(groups) == 1 else df.select([as_text(f).alias(f.name) for f in df.schema]))
+        else:
+            tables.append(_READERS[kind](spark, some))
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out

@@ -39,7 +39,8 @@ def test_json_lines_are_strict(spark, tmp_path):
         f.write("\n".join([*lines, "[1, 2]", "7", '"text"', "", '{"late": 1, "b": true}']))
     df = tables.read_json_lines(spark, at)
     got = rows(df)
-    assert df.columns == ["b", "a"] and len(got) == 601 and ("true", None) in got and ("5", '{"x": 5}') in got
+    assert df.columns == ["b", "a", "late"] and len(got) == 601 and ("true", None, "1") in got and ("5", '{"x": 5}', None) in got
+    assert tables.read_json_lines(spark, at, keys_of=500).columns == ["b", "a"]
     with open(at, "a") as f:
         f.write("\n{broken")
     with pytest.raises(Exception, match="no JSON"):
