@@ -10,10 +10,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from featsel.llm.common import Scratch, slices, table, written
+from featsel.llm.common import Scratch, released, slices, table, written
 
-#: Words of a chunk: a chunk ends with the first piece that brings it to so many.
-CHUNK = 400_000
+#: Words of a chunk: a chunk ends with the first text (or the last piece of a long one) that brings it to so many. A task
+#: holds the open chunks of all langs, this many times four words in all.
+CHUNK = 1_500_000
 _BORDER = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
 
@@ -45,6 +46,7 @@ def _chunks(docs: DataFrame, chunk: int) -> DataFrame:
             types = {"chunk": pa.int64(), "lang": pa.string(), "seq": pa.binary(), "words": pa.list_(pa.string()), "n": pa.list_(pa.int64())}
             return pa.record_batch([pa.array([row[c]], t) for c, t in types.items()], names=list(types))
 
+        held = 0
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 words = _BORDER.sub(b" . ", (text or b"").lower()).split()
@@ -67,14 +69,20 @@ def _chunks(docs: DataFrame, chunk: int) -> DataFrame:
                             open_[lang] = fresh, [tail], len(tail)
                     elif n + len(some) >= chunk:
                         yield closed(lang)
+                held += len(words)
+                if held >= 4 * chunk:
+                    held = sum(n for *_, n in open_.values())
+                    if held >= 4 * chunk:
+                        yield closed(max(open_, key=lambda x: open_[x][2]))
         for lang in list(open_):
             yield closed(lang)
 
     return docs.mapInArrow(run, "chunk long, lang string, seq binary, words array<string>, n array<long>")
 
 
-def _paired(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """The next level: chunk, seq (number of the pair that starts at each place, else 0), left and right (the names of its two halves), n.
+def _paired(chunks: DataFrame, names: DataFrame, last: bool) -> DataFrame:
+    """The next level: chunk, seq (number of the pair that starts at each place, else 0; null in the last level), left and right
+    (the names of its two halves), n.
 
     chunks: chunk, seq; names: chunk, local, id of the numbers that have a name."""
 
@@ -92,12 +100,23 @@ def _paired(chunks: DataFrame, names: DataFrame) -> DataFrame:
         lists = {"left": name[pair // len(name)], "right": name[pair % len(name)], "n": n}
         one = pa.list_(pa.int64())
         chunk = found.column("chunk")[0].as_py() if found.num_rows else named.column("of")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk]), "seq": pa.array([out.tobytes()], pa.binary()), **{c: pa.array([v], one) for c, v in lists.items()}})
+        done = pa.table({"chunk": pa.array([chunk]), "seq": pa.array([None if last else out.tobytes()], pa.binary()), **{c: pa.array([v], one) for c, v in lists.items()}})
+        released()
+        return done
 
     both = chunks.select("chunk", "seq").groupBy("chunk").cogroup(names.select(F.col("chunk").alias("of"), "local", "id").groupBy("of"))
     return both.applyInArrow(run, "chunk long, seq binary, left array<long>, right array<long>, n array<long>")
 
 
+def _named(each: DataFrame, by: list[str], least: int, scratch: Scratch) -> DataFrame:
+    """The rows (chunk, local, by, n) of what occurs `least` times in all, with its count a, a name of its own (id), and whether the row is its
+    first (head). All rows of a key, one a chunk, meet once: they are counted and named in one shuffle."""
+    key = Window.partitionBy(*by)
+    rows = each.repartition(*by).withColumn("row", F.monotonically_increasing_id() + 1)
+    rows = rows.withColumn("a", F.sum("n").over(key)).where(F.col("a") >= least).withColumn("id", F.min("row").over(key))
+    return written(rows.select("chunk", "local", *by, "a", "id", (F.col("row") == F.col("id")).alias("head")), scratch, "zstd")
+
+
 def phrases(docs: DataFrame, longest: int = 3, least: int = 10, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, Scratch]:
     """All phrases of up to `longest` words that occur `least` times: id, size, lang, phrase, a (occurrences), first and rest (occurrences of
     its first 1, 2, ... words and of what follows each), left and right (ids of the phrase without its last and first word;
@@ -106,29 +125,29 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10, chunk: int = CHU
     Texts are cut into chunks that know their own words, so a word travels once a chunk. A word that is frequent gets a
     name (a global id), and each chunk learns the names of its words by a join; then adjacent named places are pairs, which
     are counted and named alike, level by level. Names never come to the driver or to all tasks."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    chunks = written(_chunks(texts, chunk), scratch)
-    each = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("k", "w")).select("chunk", "lang", (F.col("k") + 1).alias("local"), "w.words", "w.n")
-    counts = each.groupBy("lang", "words").agg(F.sum("n").alias("a"))
-    counts = written(counts.where(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id() + 1), scratch)
+    chunks = written(_chunks(texts, chunk), scratch, "zstd")
     words = chunks.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    words = written(words, scratch)
+    each = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("k", "w")).select("chunk", (F.col("k") + 1).alias("local"), "lang", "w.words", "w.n")
+    named = _named(each, ["lang", "words"], least, scratch)
     none = F.array().cast("array<long>")
-    level = counts.select("id", F.lit(1).alias("size"), "lang", F.col("words").alias("phrase"), "a", none.alias("first"), none.alias("rest"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"))
-    names = each.join(counts.select("lang", "words", "id"), ["lang", "words"])
+    level = named.where("head").select("id", F.lit(1).alias("size"), "lang", F.col("words").alias("phrase"), "a", none.alias("first"), none.alias("rest"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"))
     all_ = level
     for size in range(2, longest + 1):
-        chunks = written(_paired(chunks, names), scratch)
+        chunks = written(_paired(chunks, named, size == longest), scratch, "zstd")
         each = chunks.select("chunk", F.posexplode(F.arrays_zip("left", "right", "n")).alias("k", "p")).select("chunk", (F.col("k") + 1).alias("local"), "p.left", "p.right", "p.n")
-        counts = each.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        counts = written(counts.withColumn("id", F.monotonically_increasing_id() + 1), scratch)
+        if size < longest:
+            named = _named(each, ["left", "right"], least, scratch)
+            counts = named.where("head").select("id", "left", "right", "a")
+        else:
+            counts = each.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id())
         l = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("lp"), F.array_append("first", F.col("a")).alias("first"))  # noqa: E741
         r = level.select(F.col("id").alias("right"), F.col("phrase").alias("rp"), F.array_prepend("rest", F.col("a")).alias("rest"))
         phrase = F.concat("lp", F.lit(" "), F.element_at(F.split("rp", " "), -1))
         level = counts.join(l, "left").join(r, "right").select("id", F.lit(size).alias("size"), "lang", phrase.alias("phrase"), "a", "first", "rest", "left", "right")
         level = written(level, scratch)
-        names = each.join(counts.select("left", "right", "id"), ["left", "right"])
         all_ = all_.unionByName(level)
     return all_, words, scratch
 

@@ -32,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def written(df: DataFrame, scratch: Scratch | None = None, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write `df` into the shared folder and read it back. With `scratch` the table goes when that is dropped."""
     at = f"{scratch.at if scratch else shared_dir(df.sparkSession)}/featsel-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
@@ -57,6 +57,11 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
     for batch in batches:
         for k in range(0, len(batch), rows):
             yield batch[k : k + rows] if isinstance(batch, pa.Array) else batch.slice(k, rows)
+    released()
+
+
+def released() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
