@@ -56,13 +56,11 @@ def _map(of: dict) -> Column:
     return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in of.items())), F.lit("\x01"), F.lit("\x02"))
 
 
-def _composed(text: Column) -> Column:
-    """NFC of a text: decompose, order marks by class, compose from left to right."""
-    apart, pairs, classes, _ = _unicode_tables()
-    decompose, compose, klass = _map(apart), _map(pairs), _map(classes)
-    code = lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c))
-    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
-
+def _decomposed(text: Column) -> Column:
+    """The canonical decomposition of a text (but for Hangul syllables): n (starters up to it), k (class), i (place), c of each
+    character, with marks in the order of their classes."""
+    apart, _, classes, _ = _unicode_tables()
+    decompose, klass = _map(apart), _map(classes)
     parts = F.filter(F.split(text, ""), lambda c: c != "")
     parts = F.flatten(F.transform(parts, lambda c: F.coalesce(F.filter(F.split(decompose[c], ""), lambda x: x != ""), F.array(c))))
     # a mark's place: number of starters up to it, then its class, then where it stands
@@ -72,7 +70,16 @@ def _composed(text: Column) -> Column:
         (a["n"] + (m["k"] == 0).cast("int")).alias("n"),
         F.array_append(a["all"], F.struct((a["n"] + (m["k"] == 0).cast("int")).alias("n"), m["k"].alias("k"), F.size(a["all"]).alias("i"), m["c"].alias("c"))).alias("all"),
     ))["all"]
-    placed = F.array_sort(placed)
+    return F.array_sort(placed)
+
+
+def _composed(text: Column) -> Column:
+    """NFC of a text: decompose, order marks by class, compose from left to right."""
+    compose = _map(_unicode_tables()[1])
+    code = lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c))
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+
+    placed = _decomposed(text)
 
     def hangul(s: Column, c: Column) -> Column:
         a, b = code(s), code(c)
@@ -118,9 +125,16 @@ def _fold_tables() -> tuple[dict[str, str], str]:
 
 def folded(text: Column) -> Column:
     """Full case folding: lower case, then what the Unicode database folds further (sharp s to ss, ligatures to their letters,
-    every sigma to one). A null text counts as empty."""
+    every sigma to one). A null text counts as empty.
+
+    Letters that marks follow are decomposed first, with the marks in canonical order: an iota below folds to a letter, behind
+    which marks could no longer be put in order."""
     fold, rare = _fold_tables()
-    low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\xdf"), F.lit("ss"))
+    text = F.coalesce(text, F.lit(""))
+    cluster = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
+    ordered = F.array_join(F.transform(cluster, lambda c: F.when(c.rlike(r"\p{M}"), F.array_join(F.transform(_decomposed(c), lambda x: x["c"]), "")).otherwise(c)), "")
+    text = F.when(text.rlike(r"[^\x00-\x{2FF}]") & text.rlike(r"\p{M}"), ordered).otherwise(text)
+    low = F.replace(F.lower(text), F.lit("\xdf"), F.lit("ss"))
     of = _map(fold)
     each = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(of[c], c)), "")
     # nothing below U+0149 but the micro sign folds further; testing for that first spares most texts the long class

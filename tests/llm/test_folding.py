@@ -18,3 +18,18 @@ def test_copies_that_differ_in_case_only(spark):
     data = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)] + [(99, None)], "doc_id long, text string")
     got = dict(rows(f.fingerprints(data), "doc_id", "fingerprint"))
     assert all(got[2 * i] == got[2 * i + 1] for i in range(len(pairs))) and len(set(got.values())) == len(pairs) + 1
+
+
+def test_marks_in_any_order(spark):
+    import random
+    import unicodedata
+
+    r = random.Random(6)
+    marks = ["ͅ", "́", "̣", "̀", "̈", "̧", "̓", "⃐", "़"]
+    bases = ["α", "ᾳ", "Ω", "ᾼ", "e", "Å", "ß", "İ", "가", "ﬁ", "ᾴ", "ı", "Σ"]
+    texts = ["".join(r.choice(bases) + "".join(r.choice(marks) for _ in range(r.randint(0, 4))) for _ in range(r.randint(1, 5))) for _ in range(400)]
+    texts += ["ᾴ", "ᾴ", "́ͅx"]
+    data = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(rows(data.select("i", f.canonical(f.folded(f.F.col("t"))).alias("t")), "i", "t"))
+    want = [unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).casefold()) for t in texts]
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != want[i]] == []
