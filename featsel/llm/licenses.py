@@ -97,17 +97,18 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     places = counted.select("doc_id", "k", "h", "copies", F.posexplode(shingles(F.col("text"))).alias("at", "s"))
     of = known.select("lid", F.explode("sh").alias("s")).distinct()
     hits = places.join(small(written(of), SENT), "s").join(found, ["k", "h", "lid"], "left_semi")
-    hits = hits.groupBy("doc_id", "k", "h", "copies", "lid").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("hits"))
     sizes = of.groupBy("lid").agg(F.count("*").cast("int").alias("n")).join(known.select("lid", "license").distinct(), "lid")
     rows = hits.join(small(written(sizes)), "lid")
-    # starts from which enough hits follow within 2n shingles; then the different ones among these
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(containment - 1e-9))).cast("int")
-    starts = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda i: F.coalesce(F.get("hits", i + need - 1)["at"] < F.get("hits", i)["at"] + 2 * F.col("n"), F.lit(False)))
-    near = lambda i: F.filter(F.slice("hits", i + 1, 2 * F.col("n")), lambda x: x["at"] < F.get("hits", i)["at"] + 2 * F.col("n"))
-    share = lambda i: F.size(F.array_distinct(F.transform(near(i), lambda x: x["s"]))) / F.col("n")
-    good = F.filter(F.transform(starts, lambda i: F.struct(share(i).alias("containment"), F.get("hits", i)["at"].alias("at"))), lambda x: x["containment"] >= containment)
-    best = rows.withColumn("good", good).where(F.size("good") > 0)
-    best = best.withColumns({"containment": F.array_max(F.transform("good", lambda x: x["containment"])), "first_word": F.array_min(F.transform("good", lambda x: x["at"]))})
+    # a hit counts for every start after the same shingle's hit before it and less than 2n places before itself: it adds one from
+    # there on, and takes it away behind itself, so one running sum has the distinct hits of every start
+    pair = ["doc_id", "k", "h", "lid"]
+    prior = F.lag("at", 1, -1).over(Window.partitionBy(*pair, "s").orderBy("at"))
+    rows = rows.withColumn("begin", (F.greatest(prior, F.col("at") - 2 * F.col("n")) + 1).cast("int"))
+    change = lambda at, by, start: F.struct(at.alias("place"), F.lit(by).alias("by"), F.lit(start).alias("start"))
+    events = rows.select(*pair, "copies", "license", "n", F.inline(F.array(change(F.col("begin"), 1, False), change(F.col("at"), 0, True), change(F.col("at") + 1, -1, False))))
+    sofar = Window.partitionBy(*pair).orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    share = events.withColumn("containment", F.sum("by").over(sofar) / F.col("n")).where(F.col("start") & (F.col("containment") >= containment))
+    best = share.groupBy(*pair, "copies", "license").agg(F.max("containment").alias("containment"), F.min("place").alias("first_word"))
     out = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("doc_id", "license", "containment", "first_word")
 

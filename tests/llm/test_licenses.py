@@ -57,3 +57,20 @@ def test_edge_cases(spark):
     assert got == [(0, "mit"), (0, "mit"), (3, "mit"), (3, "mit")]
     assert li.scan(docs.limit(0), li.templates_table(spark)).count() == 0
     assert li.scan(docs, li.templates_table(spark, [("short", "MIT License")])).count() == 0
+
+
+def test_long_notice_many_times(spark):
+    import time
+
+    r = random.Random(7)
+    words = [f"w{k}" for k in range(1_000)]
+    notice = " ".join(words)
+    lines = [notice if r.random() < 0.7 else " ".join(words[:600] + ["gap"] * 3 + words[600:]) for _ in range(80)]
+    docs = [(0, " x ".join(lines)), (1, " ".join(words[:700])), (2, " ".join(words[:800])), (3, "nothing here of it")]
+    templates = [("long", notice), ("short", " ".join(words[10:17]))]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(templates, "license string, text string")
+    began = time.time()
+    got = sorted((a, b, round(c, 9), w) for a, b, c, w in rows(li.scan(df, known), "doc_id", "license", "containment", "first_word"))
+    took = time.time() - began
+    assert [(a, b) for a, b, *_ in got] == [(0, "long"), (0, "short"), (1, "short"), (2, "long"), (2, "short")] and got[0][2] == 1.0 and got[1][3] == 10
+    assert took < 30, took
