@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featsel.llm import bpe, minhash_dedup, quality, source_mixing, substring_dedup
-from featsel.llm.common import written
+from featsel.llm.common import Scratch, written
 
 
 def _with_own_names(step, docs: DataFrame, made: tuple[str, ...]) -> DataFrame:
@@ -61,8 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over `documents`, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other over `documents`, each written and read again; what a stage has read is deleted once its own
+    rows are written. The last stage's input stays, as the result still reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        scratch = Scratch(spark)
+        docs = written(stage(spark, docs, sf_dir), scratch)
+        if before:
+            before.drop()
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
