@@ -19,22 +19,37 @@ def classification_metrics(pred: DataFrame, by: str = "set_id") -> DataFrame:
     return pred.groupBy(by).agg(F.avg(hit).alias("accuracy"), F.avg(loss).alias("log_loss"))
 
 
-def auc(pred: DataFrame, by: str = "set_id", buckets: int = 256) -> DataFrame:
+#: Scores that a task sorts, about.
+SCORES_A_TASK = 2_000_000
+
+
+def auc(pred: DataFrame, by: str = "set_id", partitions: int | None = None) -> DataFrame:
     """set_id, auc: area under the ROC curve with average ranks for ties; 0.5 if a class is absent.
 
-    Ties are grouped first; scores are then ranked within ranges of a fixed grid and each range starts after the
-    rows before it, so no set is sorted in one task (scores are probabilities, or scaled to 0 .. 1 here)."""
-    ties = pred.groupBy(by, "p").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    ends = ties.groupBy(by).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    ties = ties.join(ends, by)
-    ties = ties.withColumn("b", F.floor(F.coalesce(F.try_divide(F.col("p") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * (buckets - 1)))
-    sizes = ties.groupBy(by, "b").agg(F.sum("n").alias("bn"))  # `buckets` rows a set
-    before = Window.partitionBy(by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(by, "b", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy(by, "b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ties = ties.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sizes, [by, "b"])
-    rank = F.col("start") + F.col("inside") + (F.col("n") + 1) / 2
-    a = ties.groupBy(by).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum(F.col("pos") * rank).alias("ranks"))
+    Ties are grouped first, so a score that many rows have is one row. (set, score) is then cut into ranges at splitters
+    sampled from what there is, so that ranges hold about as many rows each, however sets and scores are spread. A task
+    ranks its range by itself and returns, for each set, its rows, positives and sum of ranks; a range starts after those
+    before it, which is carried over those few rows. partitions: ranges (else the session's shuffle partitions)."""
+    ties = pred.groupBy(by, "p").agg(F.sum("label").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
+    cut = (partitions,) if partitions else ()
+    ranged = ties.repartitionByRange(*cut, by, "p").sortWithinPartitions(by, "p")
+
+    def run(batches):
+        found: dict = {}
+        for pdf in batches:
+            for key, g in pdf.groupby(by, sort=False, dropna=False):
+                low, pos, n, ranks = found.get(key, (g["p"].iloc[0], 0.0, 0.0, 0.0))
+                upto = n + g["n"].cumsum()
+                ranks += float((g["pos"] * (upto - (g["n"] - 1) / 2)).sum())
+                found[key] = low, pos + float(g["pos"].sum()), float(upto.iloc[-1]), ranks
+        if found:
+            yield pd.DataFrame([(k, *v) for k, v in found.items()], columns=[by, "low", "pos", "n", "ranks"])
+
+    kind = pred.schema[by].dataType.simpleString()
+    parts = ranged.mapInPandas(run, f"{by} {kind}, low double, pos double, n double, ranks double")
+    before = Window.partitionBy(by).orderBy("low").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    parts = parts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+    a = parts.groupBy(by).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum(F.col("ranks") + F.col("start") * F.col("pos")).alias("ranks"))
     neg = F.col("n") - F.col("pos")
     value = (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)
     return a.select(by, F.when((F.col("pos") > 0) & (neg > 0), value).otherwise(0.5).alias("auc"))
@@ -122,9 +137,9 @@ def fit_logistic(df: DataFrame, m: Moments, sets: dict[str, list[int]], fold: st
                 yield pd.DataFrame({"fold": [int(f)], "x": [x.tobytes()], "y": [part["_y"].to_numpy(float).tobytes()]})
 
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in names], F.col(fold).cast("int").alias("_fold"), F.col(m.names[-1]).cast("double").alias("_y"))
-    tasks = 3 * df.sparkSession.sparkContext.defaultParallelism
     rows = complete(rows, [*names, "_fold", "_y"])
-    blocks = rows.mapInPandas(pack, "fold int, x binary, y binary").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = rows.mapInPandas(pack, "fold int, x binary, y binary").persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = blocks.rdd.getNumPartitions()
     w, b = np.zeros((d, len(models))), np.zeros(len(models))
     for e in range(steps):
         v, c = w / sd, b - (mean * w / sd).sum(axis=0)
@@ -197,7 +212,8 @@ def evaluate_subsets(
     if task == "classification":
         models = fit_logistic(rows, m, of, "fold", steps)
         pred = predictions(rows, columns, models, "fold", label, True)
-        found = {r["set_id"]: r for r in classification_metrics(pred).join(auc(pred), "set_id").collect()}  # one row a set
+        ranges = max(spark.sparkContext.defaultParallelism, -(-n * len(of) // SCORES_A_TASK))
+        found = {r["set_id"]: r for r in classification_metrics(pred).join(auc(pred, partitions=ranges), "set_id").collect()}  # one row a set
         rows.unpersist()
         values = {s: (r["auc"], "ROC AUC", r["accuracy"], "Accuracy", r["log_loss"], "Log loss") for s, r in found.items()}
     else:

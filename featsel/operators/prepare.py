@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from featsel.functions.text import WORD, as_days, as_number, as_text, digits, is_missing, keywords, named, stripped, tokens
 from featsel.operators import stats
+from featsel.sinks.shared import written
 
 #: Share of a column's present values that must be numbers (or dates) for it to be a number (date) column.
 MOSTLY = 0.85
@@ -111,15 +112,23 @@ def profile_columns(df: DataFrame) -> DataFrame:
     return all_.select("name", "n_rows", "present", "numeric", "dates", "avg_words", "avg_length")
 
 
-def value_frequencies(df: DataFrame, columns: list[str], k: int | None = 7) -> DataFrame:
-    """name, value, n, rank by (-n, value) of every column's values (missing: <missing>), up to rank k."""
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, value, n of every column's values (missing: <missing>)."""
     rows, views = staged(df, columns)
     each = [F.struct(F.lit(c).alias("name"), _value(views, c).alias("value")) for c in columns]
-    counts = rows.select(F.inline(F.array(*each))).groupBy("name", "value").agg(F.count("*").alias("n"))
+    return rows.select(F.inline(F.array(*each))).groupBy("name", "value").agg(F.count("*").alias("n"))
+
+
+def _most_frequent(counts: DataFrame, k: int | None) -> DataFrame:
     out = counts.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "value")))
     return out.where(F.col("rank") <= k) if k else out
 
 
+def value_frequencies(df: DataFrame, columns: list[str], k: int | None = 7) -> DataFrame:
+    """name, value, n, rank by (-n, value) of every column's values (missing: <missing>), up to rank k."""
+    return _most_frequent(value_counts(df, columns), k)
+
+
 def _category_limit(n: Column) -> Column:
     return F.least(F.lit(20), F.greatest(F.lit(8), F.bround(F.sqrt(n), 0)))
 
@@ -141,62 +150,86 @@ def infer_kinds(profile: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """name, n_distinct, from one grouping of (column, value)."""
-    rows, views = staged(df, columns)
-    each = [F.struct(F.lit(c).alias("name"), _value(views, c).alias("value")) for c in columns]
-    counts = rows.select(F.inline(F.array(*each))).groupBy("name", "value").agg(F.lit(1).alias("one"))
-    return counts.groupBy("name").agg(F.count("*").alias("n_distinct"))
+    return value_counts(df, columns).groupBy("name").agg(F.count("*").alias("n_distinct"))
+
+
+#: Relative rank error of the approximate quantiles that narrow a range is one over this.
+ACCURACY = 10_000
+
+
+@dataclass
+class _Range:
+    """Where the middle two of a column's values lie: values from low to high, how many they are and how many are less."""
+
+    low: float
+    high: float
+    inside: int
+    below: int
+    first: int
+    last: int
+    narrow: bool = True
+
+
+def _of_each(df: DataFrame, columns: list[str], each) -> dict[str, list]:
+    """column -> values of the aggregates each(column), in one job for every 50 columns."""
+    out = {}
+    for at in range(0, len(columns), COLUMNS_A_JOB):
+        part = columns[at : at + COLUMNS_A_JOB]
+        wide = df.agg(*[F.struct(*each(c)).alias(f"a{k}") for k, c in enumerate(part)]).first()
+        out |= {c: list(wide[k]) for k, c in enumerate(part)}
+    return out
+
+
+def exact_medians(df: DataFrame, values: dict[str, Column], together: int = 100_000) -> dict[str, float | None]:
+    """Median (mean of the middle two) of the values that aren't null of each of several columns, null without any.
+
+    All columns are narrowed at once: a job finds approximate quantiles just beside every column's middle, another counts what is less
+    and what is between, until at most `together` values are between (each round leaves a few thousandths); those of all columns
+    are then counted by value and ranked in one job. So the number of passes doesn't grow with the columns, and no task holds
+    all values of one."""
+    names = list(values)
+    x = df.select(*[values[c].cast("double").alias(f"x{k}") for k, c in enumerate(names)])
+    column = {c: F.col(f"x{k}") for k, c in enumerate(names)}
+    ends = _of_each(x, names, lambda c: (F.min(column[c]), F.max(column[c]), F.count(column[c])))
+    ranges = {c: _Range(low, high, n, 0, (n - 1) // 2, n // 2) for c, (low, high, n) in ends.items() if n}
+    inside = lambda c: column[c].between(ranges[c].low, ranges[c].high)
+    while wide := [c for c, r in ranges.items() if r.narrow and r.low < r.high and r.inside > together]:
+        near = lambda c: [F.lit(min(1.0, max(0.0, p))) for p in ((ranges[c].first - ranges[c].below) / ranges[c].inside - 2 / ACCURACY, (ranges[c].last - ranges[c].below + 1) / ranges[c].inside + 2 / ACCURACY)]
+        cuts = _of_each(x, wide, lambda c: (F.percentile_approx(F.when(inside(c), column[c]), F.array(*near(c)), F.lit(ACCURACY)),))
+        sizes = _of_each(x, wide, lambda c: (F.count_if(column[c] < cuts[c][0][0]), F.count_if(column[c].between(cuts[c][0][0], cuts[c][0][1]))))
+        for c in wide:
+            r, (below, n) = ranges[c], sizes[c]
+            if below <= r.first and r.last < below + n < r.below + r.inside or below > r.below and below <= r.first and r.last < below + n:
+                r.low, r.high, r.below, r.inside = *cuts[c][0], below, n
+            else:
+                r.narrow = False  # a few values are most of what is left: counting by value makes them few rows
+    out: dict[str, float | None] = {c: (ranges[c].low if c in ranges else None) for c in names}
+    some = [c for c, r in ranges.items() if r.low < r.high]
+    if some:
+        number = {c: k for k, c in enumerate(names)}
+        each = F.array(*[F.struct(F.lit(number[c]).alias("c"), F.when(inside(c), column[c]).alias("x")) for c in some])
+        counts = x.select(F.inline(each)).where("x is not null").groupBy("c", "x").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("c").orderBy("x"))
+        place = lambda of: F.element_at(F.create_map(*[F.lit(v) for c in some for v in (number[c], of(ranges[c]))]), F.col("c"))
+        a, b = place(lambda r: r.first - r.below), place(lambda r: r.last - r.below)
+        hit = lambda at: (F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)
+        middle = counts.withColumn("upto", upto).select("c", "x", hit(a).alias("a"), hit(b).alias("b")).where("a or b")
+        found = middle.groupBy("c").agg(F.max(F.when(F.col("a"), F.col("x"))), F.max(F.when(F.col("b"), F.col("x"))))
+        out |= {names[k]: a + (b - a) / 2 if abs(a) > 1e300 else (a + b) / 2 for k, a, b in found.collect()}
+    return {c: None if v is None else float(v) for c, v in out.items()}
 
 
 def exact_median(df: DataFrame, value: Column, together: int = 100_000) -> float | None:
-    """Median (mean of the middle two) of the values that aren't null, null without any.
-
-    The range that holds the middle is narrowed by approximate quantiles, one pass over the column each time, until at most
-    `together` different values are left in it; those are counted and ranked. No task ever holds all values."""
-    x = df.select(value.cast("double").alias("x")).where("x is not null")
-    low, high, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
-    if not n:
-        return None
-    first, last, before = (n - 1) // 2, n // 2, 0  # places of the middle two, rows below `low`
-    while True:
-        inside = x.where(F.col("x").between(low, high))
-        counts = inside.groupBy("x").agg(F.count("*").alias("n"))
-        if low == high:
-            return float(low)
-        if counts.limit(together + 1).count() <= together:
-            at, found = before, []
-            for value_, k in counts.orderBy("x").toLocalIterator():
-                found += [value_ for place in (first, last) if at <= place < at + k]
-                at += k
-            return float(sum(found) / 2)
-        cuts = sorted({low, *inside.agg(F.percentile_approx("x", [k / 256 for k in range(1, 256)], 10_000)).first()[0], high})
-        sizes = inside.agg(*[F.count_if((F.col("x") >= a) & (F.col("x") < b)) for a, b in zip(cuts, cuts[1:])]).first()
-        # the parts that hold the middle two; the last one ends with `high` itself
-        ends, total = [], before
-        for a, b, k in zip(cuts, cuts[1:], [*sizes[:-1], n]):
-            ends.append((a, b, total))
-            total += k
-        a0 = max((e for e in ends if e[2] <= first), key=lambda e: e[2:] + e[:1])
-        b0 = max((e for e in ends if e[2] <= last), key=lambda e: e[2:] + e[:1])
-        if (a0[0], b0[1]) == (low, high):  # nothing more to narrow by quantiles: halve the range
-            middle = low + (high - low) / 2
-            below = inside.where(F.col("x") <= middle).count()
-            if before + below <= first:
-                low, before = inside.where(F.col("x") > middle).agg(F.min("x")).first()[0], before + below
-            elif before + below > last:
-                high = inside.where(F.col("x") <= middle).agg(F.max("x")).first()[0]
-            else:  # the middle two lie on both sides
-                a = inside.where(F.col("x") <= middle).agg(F.max("x")).first()[0]
-                b = inside.where(F.col("x") > middle).agg(F.min("x")).first()[0]
-                return float((a + b) / 2)
-        else:
-            low, high, before = a0[0], b0[1], a0[2]
+    """`exact_medians` of one column."""
+    return exact_medians(df, {"": value}, together)[""]
 
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls of numeric columns replaced by the exact median (of columns that have any)."""
     gaps = df.agg(*[F.count_if(named(c).isNull()).alias(str(k)) for k, c in enumerate(columns)]).first()
     need = [c for k, c in enumerate(columns) if gaps[k]]
-    return df.withColumns({c: F.coalesce(named(c), F.lit(exact_median(df, named(c)))) for c in need}) if need else df
+    median = exact_medians(df, {c: named(c) for c in need})
+    return df.withColumns({c: F.coalesce(named(c), F.lit(median[c])) for c in need}) if need else df
 
 
 def indicators(column: str, seen: list[str], top: int = 7) -> tuple[list[str], bool]:
@@ -223,19 +256,27 @@ def document_frequency(df: DataFrame, column: str) -> DataFrame:
     return df.select(each).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def frequent_keywords(df: DataFrame, words: Column, n: int, limit: int = 6) -> DataFrame:
-    """token, df: the `limit` keywords whose share of the n rows is nearest to a half (ties: more rows, then the word), of those in
-    max(3, 2 %) to 90 % of the rows. Counted over all rows; a top-k, no full sort."""
-    counts = df.select(F.explode(keywords(words)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+def keywords_of_each(df: DataFrame, words: dict[str, Column], n: int, limit: int = 6) -> DataFrame:
+    """name, token, df, rank: of every text column (name -> words) the `limit` keywords whose share of the n rows is nearest to a half
+    (ties: more rows, then the word), of those in max(3, 2 %) to 90 % of the rows. One grouping for all columns, over all rows."""
+    named_ = lambda c, w: F.transform(keywords(w), lambda t: F.struct(F.lit(c).alias("name"), t.alias("token")))
+    each = [named_(c, w) for c, w in words.items()]
+    counts = df.select(F.inline(F.concat(*each))).groupBy("name", "token").agg(F.count("*").alias("df"))
     fit = counts.where(F.col("df").between(max(3, round(n * 0.02)), round(n * 0.9)))
-    return fit.orderBy(F.abs(F.col("df") / F.lit(n) - 0.5), F.desc("df"), "token").limit(limit)
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.abs(F.col("df") / F.lit(n) - 0.5), F.desc("df"), "token"))
+    return fit.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def frequent_keywords(df: DataFrame, words: Column, n: int, limit: int = 6) -> DataFrame:
+    """token, df of the most telling keywords of one text column (see `keywords_of_each`)."""
+    return keywords_of_each(df, {"": words}, n, limit).select("token", "df")
 
 
 def keyword_indicators(df: DataFrame, column: str, limit: int = 6) -> DataFrame:
     """Adds `column · contains "word"` (1.0 or 0.0) for each of the `limit` most telling words of a text column (see
     `frequent_keywords`); a missing text is <missing>."""
     words = tokens(view(df.schema[column]).value)
-    chosen = [r["token"] for r in frequent_keywords(df, words, df.count(), limit).collect()]
+    chosen = [r["token"] for r in keywords_of_each(df, {"": words}, df.count(), limit).orderBy("rank").collect()]
     return df.withColumns({f'{column} · contains "{t}"': F.when(F.array_contains(words, t), 1.0).otherwise(0.0) for t in chosen})
 
 
@@ -355,6 +396,14 @@ def row_id(df: DataFrame) -> Column:
     return F.md5(F.to_json(F.struct(*[named(c) for c in df.columns]), {"ignoreNullFields": "false"}))
 
 
+def _measures(value: Column, words: Column, share) -> list[tuple[str, Column]]:
+    return [
+        ("text length", F.length(value).cast("double")), ("word count", F.regexp_count(value, F.lit(WORD)).cast("double")),
+        ("vocabulary variety", share(F.size(F.array_distinct(words)), F.size(words))),
+        ("digit share", share(F.length(F.regexp_replace(value, f"[^{digits()}]", "")), F.length(value))),
+    ]
+
+
 def _inputs(raw: DataFrame, rows: DataFrame, views: dict[str, View], n: int) -> tuple[DataFrame, list[tuple[str, str, str, Column]], list[tuple[str, str]]]:
     """Candidate inputs (name, source, kind, value) of the columns in order, constants left out, and notes. `rows` are the staged
     rows of `raw`; they are returned with what the values need more."""
@@ -369,9 +418,10 @@ def _inputs(raw: DataFrame, rows: DataFrame, views: dict[str, View], n: int) ->
     open_, seen = [c for c in columns if not kind[c]], {}
     if open_:
         top = {c: [] for c in open_}
-        for r in value_frequencies(raw, open_, 8).orderBy("name", "rank").collect():
+        counts = written(value_counts(raw, open_))
+        for r in _most_frequent(counts, 8).orderBy("name", "rank").collect():
             top[r["name"]].append(r["value"])
-        distinct = dict(map(tuple, distinct_counts(raw, open_).collect()))
+        distinct = dict(map(tuple, counts.groupBy("name").agg(F.count("*").alias("n_distinct")).collect()))
         limit = min(20, max(8, round(n**0.5)))
         for c in open_:
             p = profile[c]
@@ -381,18 +431,28 @@ def _inputs(raw: DataFrame, rows: DataFrame, views: dict[str, View], n: int) ->
     out, notes = [], []
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    for k, (c, v) in enumerate(views.items()):
-        p, value = profile[c], _value(views, c)
+    # all medians, all measures of texts and all keywords are found together, whatever the number of columns
+    number = {c: (v.number, "number", "numeric") if kind[c] == "numeric" else (v.days, "day", "dates") for c, v in views.items() if kind[c] in ("numeric", "date")}
+    varied = [c for c, (_, what, _) in number.items() if profile[c][f"high_{what}"] - profile[c][f"low_{what}"] > TINY]
+    gaps = {c: F.when(~views[c].missing, number[c][0]) for c in varied if profile[c][number[c][2]] < n}
+    median = exact_medians(rows, gaps) if gaps else {}
+    texts = {c: f"t{k}" for k, c in enumerate(views) if kind[c] == "text"}
+    if texts:
+        rows = rows.withColumns({t: tokens(_value(views, c)) for c, t in texts.items()})
+        measures = {c: _measures(_value(views, c), F.col(t), share) for c, t in texts.items()}
+        wide = _of_each(rows, list(texts), lambda c: [F.max(x) - F.min(x) for _, x in measures[c]])
+        found = {c: [] for c in texts}
+        for r in keywords_of_each(rows, {c: F.col(t) for c, t in texts.items()}, n).orderBy("name", "rank").collect():
+            found[r["name"]].append(r["token"])
+    for c, v in views.items():
+        value = _value(views, c)
         if kind[c] in ("numeric", "date"):
-            x, what = (v.number, "number") if kind[c] == "numeric" else (v.days, "day")
-            gaps = p["numeric" if kind[c] == "numeric" else "dates"] < n
-            if p[f"high_{what}"] - p[f"low_{what}"] > TINY:
-                there = F.when(~v.missing, x)
-                filled = F.coalesce(there, F.lit(exact_median(rows, there))) if gaps else x
+            if c in varied:
+                filled = F.coalesce(gaps[c], F.lit(median[c])) if c in gaps else number[c][0]
                 out.append((c if kind[c] == "numeric" else f"{c} · date", c, kind[c], filled))
             if kind[c] == "date":
                 notes.append((c, "dates became a time value"))
-            elif gaps:
+            elif profile[c]["numeric"] < n:
                 notes.append((c, "missing or invalid numbers were filled with the median"))
         elif kind[c] == "category":
             values, count = seen[c]
@@ -402,17 +462,8 @@ def _inputs(raw: DataFrame, rows: DataFrame, views: dict[str, View], n: int) ->
                 out += [(f"{c} = other", c, "category", one(~value.isin(kept)))] if other else []
             notes.append((c, f"{min(count, len(kept) + 1)} category indicators"))
         elif kind[c] == "text":
-            rows = rows.withColumn(f"t{k}", tokens(value))
-            words = F.col(f"t{k}")
-            measures = [
-                ("text length", F.length(value).cast("double")), ("word count", F.regexp_count(value, F.lit(WORD)).cast("double")),
-                ("vocabulary variety", share(F.size(F.array_distinct(words)), F.size(words))),
-                ("digit share", share(F.length(F.regexp_replace(value, f"[^{digits()}]", "")), F.length(value))),
-            ]
-            wide = rows.agg(*[(F.max(x) - F.min(x)).alias(str(i)) for i, (_, x) in enumerate(measures)]).first()
-            out += [(f"{c} · {name}", c, "text", x) for i, (name, x) in enumerate(measures) if wide[i] > TINY]
-            for r in frequent_keywords(rows, words, n).collect():
-                out.append((f'{c} · contains "{r["token"]}"', c, "text", one(F.array_contains(words, r["token"]))))
+            out += [(f"{c} · {name}", c, "text", x) for (name, x), w in zip(measures[c], wide[c]) if w > TINY]
+            out += [(f'{c} · contains "{t}"', c, "text", one(F.array_contains(texts[c], t))) for t in found[c]]
             notes.append((c, "free text became structural measures and indicators of common words"))
         else:
             notes.append((c, "empty column skipped" if kind[c] == "empty" else "likely identifier skipped"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,8 @@ from featsel.operators import stats
 
 def count_label(n: int) -> str:
     """A large count in short: 12,345 or 1.23 × 10^9."""
-    if n < 1_000_000:
-        return f"{n:,}"
-    power = int(math.log10(n))
-    return f"{n / 10**power:.2f} × 10^{power}"
+    digits, _, power = f"{Decimal(n):.2e}".partition("e")
+    return f"{n:,}" if n < 10**6 else f"{digits} × 10^{int(power)}"
 
 
 def selection_summary(sets: DataFrame, rel: DataFrame, red: DataFrame, energies: DataFrame) -> DataFrame:

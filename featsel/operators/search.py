@@ -15,28 +15,30 @@ CHECKPOINTS = 48
 
 def _anneal(q: np.ndarray, k: int, sweeps: int, rng: np.random.Generator) -> tuple[list[int], float, list[tuple[int, float]]]:
     """Swap one chosen for one other feature at a time; the size stays k. Returns the best set seen, its energy, and the best energy so
-    far after some of the sweeps."""
-    n = len(q)
-    sym = q + q.T - np.diag(np.diag(q))
-    x = np.zeros(n, bool)
-    x[rng.choice(n, k, replace=False)] = True
-    off = sym - np.diag(np.diag(sym))
+    far after some of the sweeps.
+
+    field[i] is what feature i adds to the energy beside the chosen ones: a swap is judged by three numbers, and one that is
+    made changes the field by two rows of the terms."""
+    n, off = len(q), q + q.T
+    np.fill_diagonal(off, 0.0)
+    order = rng.permutation(n)  # the first k are chosen
+    field = np.diag(q) + off[:, order[:k]].sum(axis=1)
     energy = lambda v: float(np.diag(q)[v].sum() + off[np.ix_(v, v)].sum() / 2)
-    e = energy(x)
-    best, low, trace, every = x.copy(), e, [(0, e)], max(1, sweeps // CHECKPOINTS)
+    e = energy(order[:k])
+    best, low, trace, every = order[:k].copy(), e, [(0, e)], max(1, sweeps // CHECKPOINTS)
     for sweep, t in enumerate(np.geomspace(1.0, 0.005, sweeps) if k < n else [], 1):
-        for _ in range(k):
-            i, j = rng.choice(np.flatnonzero(x)), rng.choice(np.flatnonzero(~x))
-            row = off[:, x].sum(axis=1)
-            d = sym[j, j] + row[j] - off[j, i] - sym[i, i] - row[i]
-            if d <= 0 or rng.random() < np.exp(-d / t):
-                x[i], x[j] = False, True
+        for a, b, chance in zip(rng.integers(0, k, k), rng.integers(k, n, k), rng.random(k)):
+            i, j = order[a], order[b]
+            d = field[j] - off[i, j] - field[i]
+            if d <= 0 or chance < np.exp(-d / t):
+                order[a], order[b] = j, i
+                field += off[j] - off[i]
                 e += d
                 if e < low - 1e-12:
-                    best, low = x.copy(), e
+                    best, low = order[:k].copy(), e
         if sweep % every == 0 or sweep == sweeps:
             trace.append((sweep, low))
-    return np.flatnonzero(best).tolist(), energy(best), trace
+    return sorted(best.tolist()), energy(best), trace
 
 
 def repaired(selected: list[int], q: np.ndarray, k: int) -> list[int]:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featsel.sinks.shared import written
+
 #: Below this, a sum of squares counts as zero.
 TINY = 1e-15
 
@@ -36,28 +38,56 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.dropna(subset=columns)
 
 
-def summed(parts: DataFrame, tasks: int | None = None) -> dict[int, np.ndarray]:
-    """(key int, v array<double>), a few rows a task -> key -> the sum of v. Rows are added up by about the square root of the
-    number of tasks first, so that the driver gets that many and not one a task; in a fixed order, so that results repeat.
-    tasks: how many tasks there are at the most, if that is known (up to 64 are added up by the driver alone)."""
-    if tasks and tasks <= 64:
-        rows = parts.select("key", F.spark_partition_id().alias("g"), "v").toPandas().sort_values(["key", "g"])
-        return {int(k): np.sum(np.stack(g["v"].tolist()), axis=0) for k, g in rows.groupby("key")}
-    groups = max(1, round((tasks or parts.sparkSession.sparkContext.defaultParallelism) ** 0.5))
+#: Partial results that one merge adds up at the most.
+FAN_IN = 32
+
+
+def added(stack: np.ndarray) -> np.ndarray:
+    """The sum of the rows, by pairs."""
+    while len(stack) > 1:
+        odd = stack[len(stack) & ~1 :]
+        stack = np.concatenate([stack[0 : len(stack) & ~1 : 2] + stack[1 : len(stack) & ~1 : 2], odd])
+    return stack[0]
+
+
+def chan(stack: np.ndarray) -> np.ndarray:
+    """Rows of (n, means, products about the means) of parts of a table -> those of the whole, by pairs (Chan's rule)."""
+    d = round((-1 + (4 * stack.shape[1] - 3) ** 0.5) / 2)
+    while len(stack) > 1:
+        a, b, odd = stack[0 : len(stack) & ~1 : 2], stack[1 : len(stack) & ~1 : 2], stack[len(stack) & ~1 :]
+        n = np.maximum(a[:, 0] + b[:, 0], 1)
+        delta = b[:, 1 : d + 1] - a[:, 1 : d + 1]
+        mean = a[:, 1 : d + 1] + delta * (b[:, 0] / n)[:, None]
+        outer = (delta[:, :, None] * delta[:, None, :]).reshape(len(a), -1) * (a[:, 0] * b[:, 0] / n)[:, None]
+        both = np.concatenate([(a[:, 0] + b[:, 0])[:, None], mean, a[:, d + 1 :] + b[:, d + 1 :] + outer], axis=1)
+        stack = np.concatenate([both, odd])
+    return stack[0]
+
+
+def summed(parts: DataFrame, tasks: int | None = None, merge=added) -> dict[int, np.ndarray]:
+    """(key int, v array<double>), a few rows a task -> key -> the merge of v. FAN_IN neighbouring tasks are merged at a time, level by level,
+    so that a merge (and in the end the driver) holds that many rows of a key however many tasks there were; in a fixed order, so
+    that results repeat. tasks: how many tasks there are at the most, if that is known; else their results are written and counted."""
+    parts = parts.select("key", F.spark_partition_id().alias("p"), "v")
+    if not tasks:
+        parts = written(parts)
+        tasks = 1 + (parts.agg(F.max("p")).first()[0] or 0)
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(pdf.sort_values("p")["v"].tolist())
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "g": pdf["g"].iloc[:1], "v": [v.sum(axis=0).tolist()]})
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "p": pdf["g"].iloc[:1], "v": [merge(v).tolist()]})
 
-    keyed = parts.select("key", F.spark_partition_id().alias("p"), "v").withColumn("g", F.pmod("p", F.lit(groups)))
-    rows = keyed.groupBy("key", "g").applyInPandas(add, "key int, g int, v array<double>").toPandas().sort_values(["key", "g"])
-    return {int(k): np.sum(np.stack(g["v"].tolist()), axis=0) for k, g in rows.groupby("key")}
+    while tasks > FAN_IN:
+        parts = parts.withColumn("g", F.floor(F.col("p") / FAN_IN).cast("int")).groupBy("key", "g").applyInPandas(one, "key int, p int, v array<double>")
+        tasks = -(-tasks // FAN_IN)
+    rows = parts.toPandas().sort_values(["key", "p"])
+    return {int(k): merge(np.stack(g["v"].tolist())) for k, g in rows.groupby("key")}
 
 
 def moments(df: DataFrame, columns: list[str], label: str, fold: str | None = None) -> Moments:
-    """One pass over the rows: each task sums its block in numpy, and only (d+1)^2 numbers a task and fold travel, which are
-    added up in two steps (`summed`). Values are shifted by the columns' means first, for stability. Rows with a null or NaN
-    in any of the columns don't count; without rows all moments are 0."""
+    """One pass over the rows: each task makes the means and products of its rows in numpy, and only (d+1)^2 numbers a task and fold
+    travel, which are merged level by level (`summed` by `chan`). Values are shifted by the columns' means first, for
+    stability. Rows with a null or NaN in any of the columns don't count; without rows all moments are 0."""
     names = [*columns, label]
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in names], (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"))
     rows = complete(rows, names)
@@ -65,21 +95,23 @@ def moments(df: DataFrame, columns: list[str], label: str, fold: str | None = No
     shift = np.array([x if x is not None else 0.0 for x in first], float)
 
     def run(batches):
-        sums: dict[int, list] = {}
+        state: dict[int, np.ndarray] = {}
         for pdf in batches:
             x, f = pdf[names].to_numpy(float) - shift, pdf["_fold"].to_numpy()
             for k in np.unique(f):
                 part = x[f == k]
-                s = sums.setdefault(int(k), [0.0, np.zeros(len(names)), np.zeros((len(names),) * 2)])
-                s[0] += len(part)
-                s[1] += part.sum(axis=0)
-                s[2] += part.T @ part
-        if sums:
-            yield pd.DataFrame([{"key": k, "v": [s[0], *s[1].tolist(), *s[2].ravel().tolist()]} for k, s in sums.items()])
+                mean = part.mean(axis=0)
+                part = part - mean
+                new = np.concatenate([[len(part)], mean, (part.T @ part).ravel()])
+                state[int(k)] = chan(np.stack([state[int(k)], new])) if int(k) in state else new
+        if state:
+            yield pd.DataFrame([{"key": k, "v": v.tolist()} for k, v in state.items()])
 
     d = len(names)
-    parts = summed(rows.mapInPandas(run, "key int, v array<double>"))
-    folds = {k: (float(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d)) for k, v in sorted(parts.items())}
+    folds = {}
+    for k, v in sorted(summed(rows.mapInPandas(run, "key int, v array<double>"), merge=chan).items()):
+        n, mean, c = float(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d)
+        folds[k] = (n, n * mean, c + n * np.outer(mean, mean))
     return Moments(names, shift, folds or {0: (0.0, np.zeros(len(names)), np.zeros((len(names),) * 2))})
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -32,3 +33,9 @@ def dropped(spark: SparkSession, path: str) -> None:
     """Delete a folder or file, through Spark's own file systems. Nothing that is still to be computed may read it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bounded(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """Mark `df` for broadcast if a count shows that it has at most `most_rows` rows of a few short values each (some tens of MB); beyond
+    that Spark joins by shuffle. `df` must be cheap to read twice, for example a written table."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -108,11 +108,37 @@ def test_significant_digits(spark):
     assert rows(spark.createDataFrame([(None,)], "v double").select(prepare.significant(F.col("v")))) == [(None,)]
 
 
-def test_quotas():
-    assert positions.quotas({0: 30, 1: 10}, 100) == {0: 30, 1: 10}
+def test_quotas(spark):
+    def quotas(sizes, n):
+        return {r["label"]: r["quota"] for r in positions.quotas(spark.createDataFrame(list(sizes.items()), "label int, rows long"), n).collect()}
+
+    assert quotas({0: 30, 1: 10}, 100) == {0: 30, 1: 10}
     for sizes, n in (({0: 333, 1: 167}, 50), ({0: 997, 1: 3}, 10), ({c: 1 + c for c in range(60)}, 50), ({c: 1000 if c == 0 else 1 for c in range(40)}, 50)):
-        q = positions.quotas(sizes, n)
+        q = quotas(sizes, n)
         assert sum(q.values()) == max(n, len(sizes)) and all(1 <= q[c] <= sizes[c] for c in q)
+    assert quotas({0: 333, 1: 167}, 50) == {0: 33, 1: 17} and quotas({0: 1000, **{c: 1 for c in range(1, 40)}}, 50)[0] == 11
+
+
+def test_positions_are_bounded_for_skewed_keys(spark):
+    # keys that share long beginnings, and one group of three quarters of all rows
+    df = spark.range(4_000).selectExpr("id", "if(id % 4 = 0, 'b', 'a') g", "concat(if(id % 8 = 0, '00000000000000', '000000000000'), lpad(hex(id * 7919 % 4001), 4, '0')) k").repartition(5)
+    found, longest = positions.prefixes(df, "g", "k", 300)
+    assert longest > 8 and max(r["_n"] for r in found.collect()) <= 300
+    out = positions.positions(df, "g", "k", 300)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["g"], []).append((r["position"], r["k"]))
+    assert all([p for p, _ in sorted(v)] == list(range(1, len(v) + 1)) and [k for _, k in sorted(v)] == sorted(k for _, k in v) for v in got.values())
+    pieces = out.select("g", F.spark_partition_id().alias("p")).count()
+    assert pieces == 4_000
+
+
+def test_large_samples_need_no_sort(spark):
+    df = spark.range(30_000).select("id").repartition(6)
+    small = {r["id"] for r in positions.sample_rows(df, 7_001, 3, "id").collect()}
+    large = positions.sample_rows(df, 7_001, 3, "id", together=50)
+    assert {r["id"] for r in large.collect()} == small and len(small) == 7_001
+    assert positions.sample_rows(df, 99_999, 3, "id", together=50).count() == 30_000
 
 
 def test_samples_have_their_size(spark):
