@@ -707,6 +707,17 @@ def _(read):
     return tables.read_json_document(df.sparkSession, at + "/*")
 
 
+@_query("s3_large_document", "select o_orderkey::varchar as o_orderkey, '}{\"' || o_orderpriority as remark from orders")
+def _(read):
+    """Orders written as one JSON document, its records in the member `rows`, and read again by many tasks."""
+    df = read("orders").select("o_orderkey", F.concat(F.lit('}{"'), "o_orderpriority").alias("remark"))
+    spark, at = df.sparkSession, shared.new_folder(df.sparkSession)
+    line = lambda text: spark.range(1).select(F.lit(text).alias("value"))
+    rows = df.select(F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("value"))
+    line('{"version": [{"o_orderkey": 0}], "rows": [').union(rows).union(line("null], \"end\": {}}")).coalesce(1).write.text(at)
+    return tables.read_json_document(spark, at, whole=1_024)
+
+
 @_query("s4_workbooks", "select o_orderkey::varchar as o_orderkey, coalesce(case when o_orderkey % 5 > 0 then o_orderpriority end, '') as priority, case when o_orderkey % 3 = 0 then '<&> \"' || o_orderstatus else o_orderstatus end as note from orders")
 def _(read):
     """Orders written as workbooks, one a task, and read again, one a partition."""

@@ -27,8 +27,9 @@ def strings(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def files_of(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The files (not empty, with names that don't begin with . or _) at a path, pattern or folder, through Spark's own file systems."""
+def sized_files(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
+    """The files (not empty, with names that don't begin with . or _) at a path, pattern or folder and their bytes, through Spark's own
+    file systems."""
     found = []
     for one in [path] if isinstance(path, str) else path:
         where = spark._jvm.org.apache.hadoop.fs.Path(one)
@@ -39,10 +40,14 @@ def files_of(spark: SparkSession, path: str | list[str]) -> list[str]:
             if s.isDirectory():
                 todo += [x for x in fs.listStatus(s.getPath()) if x.getPath().getName()[0] not in "._"]
             elif s.getLen():
-                found.append(s.getPath().toString())
+                found.append((s.getPath().toString(), s.getLen()))
     return sorted(found)
 
 
+def files_of(spark: SparkSession, path: str | list[str]) -> list[str]:
+    return [f for f, _ in sized_files(spark, path)]
+
+
 def head_of(spark: SparkSession, path: str, n: int) -> bytes:
     """The first n bytes of a file, through Spark's own file systems."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featsel.functions.text import as_text, clean_headers, named
-from featsel.sources.delimited import files_of, head_of, read_delimited, separator, strings
+from featsel.sources import documents
+from featsel.sources.delimited import files_of, head_of, read_delimited, separator, sized_files, strings
 from featsel.sources.workbooks import read_workbooks
 
 __all__ = ["read_delimited", "read_json_document", "read_json_lines", "read_table", "read_workbooks", "separator"]
@@ -33,6 +34,13 @@ def keys(lines: DataFrame, keys_of: int | None) -> list[str]:
     return list(names)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _records(lines: DataFrame, what: str, keys_of: int | None) -> DataFrame:
     """A DataFrame (value: JSON of a record each) as a table of text. Values that are no objects are left out; what isn't JSON is an
     error when the row is read, wherever it stands. Columns are the `keys` of the records."""
@@ -64,20 +72,37 @@ def _array(c: Column) -> Column:
     return F.from_json(c, "array<string>")
 
 
-def read_json_document(spark: SparkSession, path: str | list[str], keys_of: int | None = None) -> DataFrame:
+#: Bytes from which a document is cut into its records by many tasks.
+WHOLE = 67_108_864
+
+
+def read_json_document(spark: SparkSession, path: str | list[str], keys_of: int | None = None, whole: int = WHOLE) -> DataFrame:
     """A whole JSON document a file: a list of objects; an object that has one under records, rows, data or items; or an object of
-    lists of equal length (a column each). All values as text. Anything else is an error. A document is read by one task."""
-    docs = spark.read.text(path, wholetext=True)
+    lists of equal length (a column each). All values as text. Anything else is an error.
+
+    Documents of up to `whole` bytes are read by a task each. In larger ones the records of a list are found by many tasks
+    (`documents.records`), if their first megabyte shows where the list is: so nothing bounds the size of such a document. (A
+    document of columns is read by one task, up to 2 GB.)"""
+    large, small = [], []
+    for f, size in sized_files(spark, path):
+        at = documents.list_place(head_of(spark, f, documents.HEAD).decode("utf-8", "ignore"), WRAPPERS) if size > whole else None
+        (large if at else small).append((f, at))
+    cut = [documents.records(spark, f, *at) for f, at in large]
+    if not small and not cut:
+        raise ValueError("the table is empty")
+    if not small:
+        return _records(_union(cut), "JSON document", keys_of)
+    docs = spark.read.text([f for f, _ in small], wholetext=True)
     wrapped = F.from_json("value", strings(list(WRAPPERS)))
     inside = F.coalesce(*[F.when(F.ltrim(wrapped[w]).startswith("["), wrapped[w]) for w in WRAPPERS])
     listed = F.when(F.ltrim("value").startswith("["), F.col("value")).when(F.ltrim("value").startswith("{"), inside)
     broken = F.when(F.try_parse_json("value").isNull(), F.raise_error("the document is no JSON").cast("string")).otherwise(listed)
     docs = docs.select("value", broken.alias("list"))
     if docs.where("list is null").isEmpty():
-        return _records(docs.select(F.explode(_array(F.col("list"))).alias("value")), "JSON document", keys_of)
+        return _records(_union([*cut, docs.select(F.explode(_array(F.col("list"))).alias("value"))]), "JSON document", keys_of)
     columns = F.from_json("value", "map<string,string>")
     one = docs.where("list is null").select(columns.alias("m")).first()["m"]
-    if not one or docs.where("list is not null").count() or not all((v or "").lstrip().startswith("[") for v in one.values()):
+    if not one or cut or docs.where("list is not null").count() or not all((v or "").lstrip().startswith("[") for v in one.values()):
         raise ValueError("a JSON document must be a list of objects, an object with one, or an object of lists")
     names = list(one)
     lists = docs.select(*[_array(columns[n]).alias(f"c{i}") for i, n in enumerate(names)])
