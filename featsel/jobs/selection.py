@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from featsel.operators import evaluate, objective, report, search, stats
 from featsel.operators.positions import sample_rows
 from featsel.operators.prepare import Prepared, prepare, row_id
+from featsel.sinks.shared import written
 
 #: Folds and steps of the comparison; every set gets the same.
 FOLDS, STEPS = 3, 64
@@ -21,30 +22,39 @@ class Result:
     """Small tables, except `data`, which is the prepared table.
 
     selection: the chosen set; features: every input; benchmark: chosen, greedy and all inputs; insight: the difference; frontier:
-    sets of other sizes; terms: the objective with names; trace: the best run; inputs and notes: of the preparation."""
+    sets of other sizes; terms: the objective with names; trace: the best run; inputs and notes: of the preparation.
+
+    benchmark, insight and frontier need the models of all sets, which are trained once, when the first of these is asked for."""
 
     data: DataFrame
     selection: DataFrame
     features: DataFrame
-    benchmark: DataFrame
-    insight: DataFrame
-    frontier: DataFrame
     terms: DataFrame
     trace: DataFrame
     inputs: DataFrame
     notes: DataFrame
+    compare: Callable[[], tuple[DataFrame, DataFrame, DataFrame]] = field(repr=False)
+
+    @cached_property
+    def _compared(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self.compare()
+
+    @property
+    def benchmark(self) -> DataFrame:
+        return self._compared[0]
+
+    @property
+    def insight(self) -> DataFrame:
+        return self._compared[1]
 
+    @property
+    def frontier(self) -> DataFrame:
+        return self._compared[2]
 
-def kept(df: DataFrame) -> DataFrame:
-    """`df`, computed once: written to the folder that driver and executors share, if the session names one
-    (spark.checkpoint.dir), else persisted."""
-    spark = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        return df.persist()
-    path = f"{at}/featsel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def tables(self) -> dict[str, DataFrame]:
+        """All tables by name."""
+        names = ("data", "selection", "features", "benchmark", "insight", "frontier", "terms", "trace", "inputs", "notes")
+        return {name: getattr(self, name) for name in names}
 
 
 def choose(spark: SparkSession, m: stats.Moments, k: int, lam: float, quality: str, seed: int) -> tuple[DataFrame, DataFrame, dict[int, dict], dict[int, list[int]]]:
@@ -88,30 +98,30 @@ def select_features(
 def selected(ready: Prepared, k: int, lam: float = objective.LAMBDA, quality: str = "balanced", seed: int = 42, max_samples: int | None = None) -> Result:
     """`select_features` for a prepared table."""
     spark, columns, n = ready.data.sparkSession, ready.columns, len(ready.features)
-    data = kept(ready.data)
+    data = written(ready.data)
     m = stats.moments(data, columns, "label")
     m.names[:-1] = [name for name, *_ in ready.features]
     rel, red, best, top = choose(spark, m, k, lam, quality, seed)
 
-    sets = {f"QUBO {size}": best[size]["selected"] for size in best} | {f"Top relevance {size}": top[size] for size in top} | {"all": list(range(n))}
-    metrics = evaluate.evaluate_subsets(data, columns, "label", ready.task, sets, "id", FOLDS, max_samples, STEPS, seed + 49)
-    metrics = spark.createDataFrame(metrics.collect(), metrics.schema)  # a row a set
-    rows = [(f"{method} {size}", size, method, [int(i) for i in sets[f"{method} {size}"]]) for size in objective.frontier_sizes(n, k) for method in ("QUBO", "Top relevance")]
-    frontier_sets = spark.createDataFrame(rows, "set_id string, k int, method string, selected array<int>")
-
     pair = spark.createDataFrame([("chosen", i) for i in best[k]["selected"]] + [("greedy", i) for i in top[k]], "set_id string, idx int")
     energy = spark.createDataFrame([("chosen", best[k]["energy"])], "set_id string, energy double")
     chosen = pair.where("set_id = 'chosen'")
     summary = report.selection_summary(chosen, rel, red, energy).drop("set_id")
-    benchmark = report.benchmark_table(metrics, {f"QUBO {k}": "qubo", f"Top relevance {k}": "greedy", "all": "all_features"})
-    overlap = dict(map(tuple, stats.average_redundancy(pair, red).collect()))
-    score = {r["set_id"]: r["score"] for r in metrics.collect()}
-    both = [(score[f"QUBO {k}"], overlap["chosen"], score[f"Top relevance {k}"], overlap["greedy"])]
-    both = spark.createDataFrame(both, "score double, redundancy double, greedy_score double, greedy_redundancy double")
+
+    def compare() -> tuple[DataFrame, DataFrame, DataFrame]:
+        sets = {f"QUBO {size}": best[size]["selected"] for size in best} | {f"Top relevance {size}": top[size] for size in top} | {"all": list(range(n))}
+        metrics = evaluate.evaluate_subsets(data, columns, "label", ready.task, sets, "id", FOLDS, max_samples, STEPS, seed + 49)
+        metrics = spark.createDataFrame(metrics.collect(), metrics.schema)  # a row a set
+        rows = [(f"{method} {size}", size, method, [int(i) for i in sets[f"{method} {size}"]]) for size in objective.frontier_sizes(n, k) for method in ("QUBO", "Top relevance")]
+        frontier_sets = spark.createDataFrame(rows, "set_id string, k int, method string, selected array<int>")
+        benchmark = report.benchmark_table(metrics, {f"QUBO {k}": "qubo", f"Top relevance {k}": "greedy", "all": "all_features"})
+        overlap = dict(map(tuple, stats.average_redundancy(pair, red).collect()))
+        score = {r["set_id"]: r["score"] for r in metrics.collect()}
+        both = [(score[f"QUBO {k}"], overlap["chosen"], score[f"Top relevance {k}"], overlap["greedy"])]
+        both = spark.createDataFrame(both, "score double, redundancy double, greedy_score double, greedy_redundancy double")
+        return benchmark, report.insight(both), report.frontier_table(frontier_sets, red, metrics, n)
+
     terms = objective.exported_terms(objective.build_terms(rel, red, k, lam), rel)
     trace = [(best[k]["read"], best[k]["reads"], best[k]["feasible_reads"], t["sweep"], round(t["energy"], 6)) for t in best[k]["trace"]]
-    return Result(
-        data, summary, report.feature_table(rel, red, best[k]["selected"], top[k]), benchmark, report.insight(both),
-        report.frontier_table(frontier_sets, red, metrics, n), terms,
-        spark.createDataFrame(trace, "read long, reads long, feasible_reads long, sweep int, energy double"), ready.feature_table(), ready.note_table(),
-    )
+    trace = spark.createDataFrame(trace, "read long, reads long, feasible_reads long, sweep int, energy double")
+    return Result(data, summary, report.feature_table(rel, red, best[k]["selected"], top[k]), terms, trace, ready.feature_table(), ready.note_table(), compare)

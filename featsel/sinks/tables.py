@@ -25,7 +25,9 @@ def write_csv(prepared: Prepared, path: str, digits: int = 10, mode: str = "erro
 
 
 def result_tables(result) -> dict[str, DataFrame]:
-    """Name -> table of the DataFrames that a result (a dataclass) holds."""
+    """Name -> table of the DataFrames that a result (with `tables`, or a dataclass) holds."""
+    if hasattr(result, "tables"):
+        return result.tables()
     found = {f.name: getattr(result, f.name) for f in dataclasses.fields(result)}
     return {name: df for name, df in found.items() if isinstance(df, DataFrame)}
 

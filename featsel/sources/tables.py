@@ -27,7 +27,10 @@ def keys(lines: DataFrame, keys_of: int | None) -> list[str]:
     objects = lines.where(F.ltrim("value").startswith("{"))
     names: dict[str, None] = {}
     for (line,) in objects.limit(keys_of or KEYS_OF).collect():
-        names |= dict.fromkeys(json.loads(line))
+        try:
+            names |= dict.fromkeys(json.loads(line))
+        except ValueError as e:
+            raise ValueError(f"a line or record is no JSON: {line[:80]}") from e
     if names and not keys_of:
         late = objects.select(F.explode(F.json_object_keys("value")).alias("k")).distinct().where(~F.col("k").isin(list(names)))
         names |= dict.fromkeys(sorted(k for (k,) in late.collect()))
