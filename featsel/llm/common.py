@@ -68,12 +68,16 @@ def released() -> None:
         trim(0)
 
 
-def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+def small(df: DataFrame, most_rows: int = 500_000, most_bytes: int | None = None) -> DataFrame:
     """Mark `df` for broadcast if a count shows that it has at most `most_rows` rows of a few
-    numbers each (some 16 MB); beyond that Spark joins by shuffle. `df` must be cheap to read
-    twice, for example a written table."""
-    few = df.limit(most_rows + 1).count() <= most_rows
-    return F.broadcast(df) if few else df
+    numbers each (some 16 MB), and if its texts have `most_bytes` bytes at most, where a bound is given for them; beyond
+    that Spark joins by shuffle. `df` must be cheap to read twice, for example a written table."""
+    few = df.limit(most_rows + 1)
+    if most_bytes is None:
+        return F.broadcast(df) if few.count() <= most_rows else df
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"]
+    n, size = few.agg(F.count("*"), F.coalesce(F.sum(sum(texts[1:], texts[0])), F.lit(0))).first()
+    return F.broadcast(df) if n <= most_rows and size <= most_bytes else df
 
 
 def words_of(text) -> "F.Column":

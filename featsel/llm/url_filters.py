@@ -73,7 +73,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     each = each.withColumn("full", F.sha2("expression", 256)).withColumn("prefix", F.substring("full", 1, PREFIX))
     fits = each.join(rules, "prefix").where("full = digest")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
-    best = small(written(best.select("host", "path", "best.rule", "best.verdict")))
+    best = small(written(best.select("host", "path", "best.rule", "best.verdict")), most_bytes=16_777_216)
     out = pages.join(best, ["host", "path"], "left")
     return out.select(*pages.columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
