@@ -320,9 +320,9 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = 1_000, negative: int
     known = written(known.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {k: int(min(1.0, most / max(1, n.get(k, 0))) * (1 << 30)) for k, most in ((1, positive), (0, negative))}
-    ids = known.where((F.col("toxic") == 1) & (F.col("h") < share[1]) | (F.col("toxic") == 0) & (F.col("h") < share[0])).limit(2 * (positive + negative))
+    ids = known.where((F.col("toxic") == 1) & (F.col("h") < share[1]) | (F.col("toxic") == 0) & (F.col("h") < share[0])).orderBy("h", "doc_id").limit(2 * (positive + negative))
     short = docs.select("doc_id", "text").where(F.coalesce(F.length("text") <= longest, F.lit(True)))
-    rows = short.join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").limit(3 * (positive + negative)).collect()
+    rows = short.join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(3 * (positive + negative)).collect()
     rows = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows))
     return train([t.encode() for _, t, _ in rows], [y for _, _, y in rows])
 
