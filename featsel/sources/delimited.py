@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession

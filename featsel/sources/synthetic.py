@@ -54,6 +54,7 @@ def device_failure(ids: DataFrame, id_col: str = "id", seed: int = 17) -> DataFr
     1), drawn with a logistic probability that has an interaction. ids: for example `spark.range(n)`."""
     key = F.col(id_col)
     rows = _mixed(ids, id_col, DEVICE_INPUTS, DEVICE_MIXES, seed, {})
+    # Weights of the readings, of one product of two, of noise, and the constant.
     logit = (
         1.35 * F.col("thermal_gradient") + 1.05 * F.col("vibration_rms") + 0.82 * F.col("voltage_drift") + 0.66 * F.col("packet_jitter") - 0.62 * F.col("fan_delta")
         + 0.5 * F.col("load_spike") + 0.32 * F.col("thermal_gradient") * F.col("vibration_rms") + 0.35 * normal(seed, "logit", key) - 0.15
@@ -66,6 +67,7 @@ def workload_cost(ids: DataFrame, id_col: str = "id", seed: int = 29) -> DataFra
     key = F.col(id_col)
     weekday = F.floor((1 - uniform(seed, "weekday", key)) * 7) / 3 - 1
     rows = _mixed(ids, id_col, WORKLOAD_INPUTS, WORKLOAD_MIXES, seed, {"weekday": weekday})
+    # The constant, weights of the signals, of one product of two, and of noise.
     cost = (
         21.0 + 6.8 * F.col("request_rate") + 4.2 * F.col("payload_kb") + 3.7 * F.col("cache_miss_rate") + 5.1 * F.col("cpu_saturation") + 2.4 * F.col("memory_gb")
         + 1.9 * F.col("region_distance") + 1.2 * F.col("request_rate") * F.col("payload_kb") + 1.8 * normal(seed, "cost", key)

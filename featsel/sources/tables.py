@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,8 +133,10 @@ def _one_object_a_line(head: bytes, whole: bool) -> bool:
     return len(lines) > 1 or not lists
 
 
-#: Bytes of a file that tell its kind.
-KIND_BYTES = 1_048_576
+#: Bytes of a file that tell its kind; where they have no whole line, so many more.
+KIND_BYTES, KIND_MORE = 65_536, 1_048_576
+#: Files whose first bytes are read at a time.
+LOOKS = 16
 _READERS = {"delimited": read_delimited, "lines": read_json_lines, "document": read_json_document}
 
 
@@ -149,7 +152,9 @@ def kind_of(spark: SparkSession, path: str) -> str:
         return "workbook"
     if suffix in ("jsonl", "ndjson"):
         return "lines"
-    head = head_of(spark, path, KIND_BYTES)
+    head, n = head_of(spark, path, KIND_BYTES), KIND_BYTES
+    if len(head) == n and b"\n" not in head and head.lstrip()[:1] in (b"[", b"{"):
+        head, n = head_of(spark, path, KIND_MORE), KIND_MORE
     if head.startswith(b"PK\x03\x04"):
         return "workbook"
     if head.startswith(b"PAR1"):
@@ -157,7 +162,7 @@ def kind_of(spark: SparkSession, path: str) -> str:
     if head.startswith(b"ORC"):
         return "orc"
     if suffix == "json" or head.lstrip(b"\xef\xbb\xbf \t\r\n")[:1] in (b"[", b"{"):
-        return "lines" if _one_object_a_line(head, len(head) < KIND_BYTES) else "document"
+        return "lines" if _one_object_a_line(head, len(head) < n) else "document"
     return "delimited"
 
 
@@ -175,14 +180,13 @@ def read_table(spark: SparkSession, path: str, format: str | None = None) -> Dat
     if not files:
         raise ValueError("the table is empty")
     given = {"xlsx": "workbook", "jsonl": "lines", "ndjson": "lines", "csv": "delimited", "tsv": "delimited"}.get((format or "").lower())
-    # the files of a kind are read together; parts of one written table have one suffix, so only the first of each is looked at
+    # the files of a kind are read together; separators go with suffixes
+    with ThreadPoolExecutor(LOOKS) as pool:
+        kinds = [given] * len(files) if given else list(pool.map(lambda f: kind_of(spark, f), files))
     groups: dict[tuple[str, str], list[str]] = {}
-    seen: dict[str, str] = {}
-    for f in files:
-        suffix = f.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in f.rsplit("/", 1)[-1] else f
-        kind = given or seen.setdefault(suffix, "") or kind_of(spark, f)
-        seen[suffix] = kind
-        groups.setdefault((kind, suffix if kind == "delimited" else ""), []).append(f)  # separators go with suffixes
+    for f, kind in zip(files, kinds):
+        stem, dot, suffix = f.rsplit("/", 1)[-1].rpartition(".")
+        groups.setdefault((kind, (suffix if dot else stem or f) if kind == "delimited" else ""), []).append(f)
     tables = []
     for (kind, _), some in groups.items():
         if kind == "workbook":

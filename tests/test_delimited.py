@@ -96,9 +96,10 @@ def test_a_folder_of_several_kinds(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name\n1,one\n2,two\n")
     (tmp_path / "b.jsonl").write_text('{"id": 3, "name": "three"}\n{"id": 4, "more": true}\n')
     (tmp_path / "c.json").write_text('[{"id": 5, "name": "five"}]')
+    (tmp_path / "c2.json").write_text('{"id": 10, "name": "ten"}\n{"id": 11, "name": "eleven"}\n')
     (tmp_path / "d").write_text("id\tname\n6\tsix\n")
     write_workbooks(spark.createDataFrame([("7", "seven"), ("8", None)], "id string, name string").coalesce(1), str(tmp_path))
     spark.createDataFrame([(9, "nine")], "id int, name string").coalesce(1).write.parquet(str(tmp_path / "e"))
     got = {r["id"]: (r["name"] or None, r["more"]) for r in tables.read_table(spark, str(tmp_path)).collect()}
-    names = {"1": "one", "2": "two", "3": "three", "4": None, "5": "five", "6": "six", "7": "seven", "8": None, "9": "nine"}
+    names = {"1": "one", "2": "two", "3": "three", "4": None, "5": "five", "6": "six", "7": "seven", "8": None, "9": "nine", "10": "ten", "11": "eleven"}
     assert got == {k: (v, "true" if k == "4" else None) for k, v in names.items()}
