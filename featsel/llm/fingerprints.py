@@ -134,11 +134,16 @@ def folded(text: Column) -> Column:
     cluster = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
     ordered = F.array_join(F.transform(cluster, lambda c: F.when(c.rlike(r"\p{M}"), F.array_join(F.transform(_decomposed(c), lambda x: x["c"]), "")).otherwise(c)), "")
     text = F.when(text.rlike(r"[^\x00-\x{2FF}]") & text.rlike(r"\p{M}"), ordered).otherwise(text)
-    low = F.replace(F.lower(text), F.lit("\xdf"), F.lit("ss"))
     of = _map(fold)
-    each = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(of[c], c)), "")
-    # nothing below U+0149 but the micro sign folds further; testing for that first spares most texts the long class
-    return F.when(low.rlike(r"[^\x00-\xB4\xB6-\x{148}]") & low.rlike(rare) | low.contains("\xb5"), each).otherwise(low)
+
+    def rest(text: Column) -> Column:
+        low = F.replace(F.lower(text), F.lit("\xdf"), F.lit("ss"))
+        each = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(of[c], c)), "")
+        # nothing below U+0149 but the micro sign folds further; testing for that first spares most texts the long class
+        return F.when(low.rlike(r"[^\x00-\xB4\xB6-\x{148}]") & low.rlike(rare) | low.contains("\xb5"), each).otherwise(low)
+
+    # the ordered text is bound to a variable, so that the plan holds it once
+    return F.transform(F.array(text), rest)[0]
 
 
 def wide_hash(text: Column, bits: int = 64) -> Column:
