@@ -13,43 +13,99 @@ QUALITY = {"fast": (10, 110), "balanced": (22, 210), "deep": (40, 340)}
 CHECKPOINTS = 48
 
 
+class _State:
+    """A set of features under change. field[i] is what feature i adds to the energy beside the chosen ones, so taking it in or out
+    is judged by one number, and done in one row of the terms."""
+
+    def __init__(self, q: np.ndarray, selected):
+        self.q, self.off = q, q + q.T
+        np.fill_diagonal(self.off, 0.0)
+        self.chosen = np.zeros(len(q), bool)
+        self.chosen[list(selected)] = True
+        self.size = int(self.chosen.sum())
+        self.field = np.diag(q) + self.off[:, self.chosen].sum(axis=1)
+
+    def flip(self, i: int) -> None:
+        out = self.chosen[i]
+        self.chosen[i] = not out
+        self.size += -1 if out else 1
+        self.field += -self.off[i] if out else self.off[i]
+
+    def energy(self) -> float:
+        return float(self.chosen @ self.q @ self.chosen)
+
+    def resize(self, k: int) -> None:
+        """Size k by single changes, each the one that costs least (the first feature wins ties)."""
+        while self.size != k:
+            grow = self.size < k
+            cost = self.field if grow else -self.field
+            self.flip(int(np.where(self.chosen == grow, np.inf, cost).argmin()))
+
+    def settle(self) -> None:
+        """The best swap of a chosen for another feature, until none lowers the energy."""
+        while 0 < self.size < len(self.q):
+            inside, outside = np.flatnonzero(self.chosen), np.flatnonzero(~self.chosen)
+            change = self.field[outside] - self.field[inside][:, None] - self.off[np.ix_(inside, outside)]
+            i, j = np.unravel_index(change.argmin(), change.shape)
+            if change[i, j] >= -1e-9:
+                return
+            self.flip(int(inside[i]))
+            self.flip(int(outside[j]))
+
+
 def _anneal(q: np.ndarray, k: int, sweeps: int, rng: np.random.Generator) -> tuple[list[int], float, list[tuple[int, float]]]:
-    """Swap one chosen for one other feature at a time; the size stays k. Returns the best set seen, its energy, and the best energy so
-    far after some of the sweeps.
-
-    field[i] is what feature i adds to the energy beside the chosen ones: a swap is judged by three numbers, and one that is
-    made changes the field by two rows of the terms."""
-    n, off = len(q), q + q.T
-    np.fill_diagonal(off, 0.0)
-    order = rng.permutation(n)  # the first k are chosen
-    field = np.diag(q) + off[:, order[:k]].sum(axis=1)
-    energy = lambda v: float(np.diag(q)[v].sum() + off[np.ix_(v, v)].sum() / 2)
-    e = energy(order[:k])
-    best, low, trace, every = order[:k].copy(), e, [(0, e)], max(1, sweeps // CHECKPOINTS)
-    for sweep, t in enumerate(np.geomspace(1.0, 0.005, sweeps) if k < n else [], 1):
-        for a, b, chance in zip(rng.integers(0, k, k), rng.integers(k, n, k), rng.random(k)):
-            i, j = order[a], order[b]
-            d = field[j] - off[i, j] - field[i]
-            if d <= 0 or chance < np.exp(-d / t):
-                order[a], order[b] = j, i
-                field += off[j] - off[i]
+    """Take single features in or out, whatever the size becomes, from a random set of about k. Every sweep offers each feature once,
+    then as many swaps as features are chosen, which still move when the terms make another size dear.
+
+    Returns the best set of size k seen, improved by swaps, its energy, and the best energy so far after some of the sweeps. If none
+    was of size k: the last set, of another size, its energy, and no trace."""
+    n = len(q)
+    s = _State(q, np.flatnonzero(rng.random(n) < k / n))
+    e, best, low, trace, every = s.energy(), None, np.inf, [], max(1, sweeps // CHECKPOINTS)
+
+    def seen():
+        nonlocal best, low
+        if s.size == k and e < low - 1e-12:
+            best, low = s.chosen.copy(), e
+
+    seen()
+    hot = max(1.0, float(np.abs(s.off).max()) / 2)  # then a change of size by one is common
+    for sweep, t in enumerate(np.geomspace(hot, 0.005, sweeps), 1):
+        # a change for the worse by d is made with probability exp(-d / t)
+        for i, gate in zip(rng.permutation(n).tolist(), t * rng.standard_exponential(n)):
+            d = -s.field[i] if s.chosen[i] else s.field[i]
+            if d <= gate:
+                s.flip(i)
                 e += d
-                if e < low - 1e-12:
-                    best, low = order[:k].copy(), e
-        if sweep % every == 0 or sweep == sweeps:
-            trace.append((sweep, low))
-    return sorted(best.tolist()), energy(best), trace
+                seen()
+        inside, outside = (np.flatnonzero(x).tolist() for x in (s.chosen, ~s.chosen))
+        if inside and outside:
+            m = len(inside)
+            for a, b, gate in zip(rng.integers(0, m, m), rng.integers(0, n - m, m), t * rng.standard_exponential(m)):
+                i, j = inside[a], outside[b]
+                d = s.field[j] - s.off[i, j] - s.field[i]
+                if d <= gate:
+                    s.flip(i)
+                    s.flip(j)
+                    inside[a], outside[b] = j, i
+                    e += d
+                    seen()
+        if best is not None and (sweep % every == 0 or sweep == sweeps):
+            trace.append((sweep, float(low)))
+    if best is None:
+        return np.flatnonzero(s.chosen).tolist(), s.energy(), []
+    s = _State(q, np.flatnonzero(best))
+    s.settle()
+    trace[-1] = (sweeps, s.energy())
+    return np.flatnonzero(s.chosen).tolist(), s.energy(), trace
 
 
 def repaired(selected: list[int], q: np.ndarray, k: int) -> list[int]:
-    """A set made into one of size k: the feature whose change costs least is taken out or put in, one at a time."""
-    sym, x = q + q.T - np.diag(np.diag(q)), set(selected)
-    cost = lambda i: sym[i, i] + sum(sym[i, j] for j in x if j != i)
-    while len(x) > k:
-        x.remove(max(sorted(x), key=cost))
-    while len(x) < k:
-        x.add(min((i for i in range(len(q)) if i not in x), key=cost))
-    return sorted(x)
+    """A set made into one of size k, by the single changes that cost least, and improved by swaps."""
+    s = _State(q, selected)
+    s.resize(k)
+    s.settle()
+    return np.flatnonzero(s.chosen).tolist()
 
 
 _RUN = "k int, read long, selected array<int>, energy double, feasible boolean, trace array<struct<sweep:int,energy:double>>"
@@ -57,7 +113,8 @@ _RUN = "k int, read long, selected array<int>, energy double, feasible boolean,
 
 def search_all(spark: SparkSession, jobs: list[tuple[int, np.ndarray, float, int, int, int]]) -> DataFrame:
     """All runs of several searches in one job. jobs: (k, terms as an upper triangular matrix, constant, reads, sweeps, seed) with
-    different k. Returns k, read, selected, energy, feasible (size k), trace (sweep, best energy so far) for every run.
+    different k. Returns k, read, selected, energy, feasible, trace (sweep, best energy so far at size k) for every run. A run that
+    met no set of size k isn't feasible; its last set is made into one of size k.
 
     A run's random numbers depend on (seed, k, read) alone, never on the partition. The matrices are as large as the
     number of features squared and go to every task."""
@@ -72,7 +129,11 @@ def search_all(spark: SparkSession, jobs: list[tuple[int, np.ndarray, float, int
                 q, constant, _, sweeps, seed = of[k]
                 chosen, low, trace = _anneal(q, k, sweeps, np.random.default_rng([seed, k, read]))
                 feasible = len(chosen) == k
-                out.append((k, read, chosen if feasible else repaired(chosen, q, k), low + constant, feasible, [{"sweep": a, "energy": b + constant} for a, b in trace]))
+                if not feasible:
+                    chosen = repaired(chosen, q, k)
+                    low = _State(q, chosen).energy()
+                    trace = [(sweeps, low)]
+                out.append((k, read, chosen, low + constant, feasible, [{"sweep": a, "energy": b + constant} for a, b in trace]))
             yield pd.DataFrame(out, columns=["k", "read", "selected", "energy", "feasible", "trace"])
 
     return spark.range(len(runs)).repartition(max(1, len(runs))).mapInPandas(run, _RUN)

@@ -79,3 +79,44 @@ def test_five_hundred_features_in_seconds():
     top = np.zeros(n)
     top[np.argsort(-r)[:k]] = 1
     assert low <= top @ q @ top + 1e-9
+
+
+def test_runs_that_leave_the_size(spark):
+    """Runs may pass through every size. Terms that make another size cheap leave some without a set of size k, and these are repaired."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    n, k = 12, 5
+    q = np.triu(rng.normal(size=(n, n)))
+    energy = lambda c: sum(q[i, j] for i in c for j in c)
+    low = min(energy(c) for c in combinations(range(n), k))
+    runs = search.search_all(spark, [(k, q, 1.0, 12, 60, 3)]).collect()
+    assert all(len(r["selected"]) == k and abs(r["energy"] - 1.0 - energy(r["selected"])) < 1e-9 for r in runs)
+    assert abs(min(r["energy"] for r in runs) - 1.0 - low) < 1e-9
+    # every feature in is far cheaper than any five
+    eager = q - np.diag(np.full(n, 1e6))
+    runs = search.search_all(spark, [(k, eager, 0.0, 12, 60, 3)])
+    found, best = runs.collect(), search.best_reads(runs).first()
+    kept = [r["feasible"] for r in found]
+    assert 0 < sum(not x for x in kept) and best["feasible_reads"] == sum(kept) and best["reads"] == 12
+    assert all(len(set(r["selected"])) == k and abs(r["energy"] - sum(eager[i, j] for i in r["selected"] for j in r["selected"])) < 1e-3 for r in found)
+    assert all([t["sweep"] for t in r["trace"]] == [60] for r in found if not r["feasible"])
+    assert search.search_all(spark, [(n, q, 0.0, 2, 5, 1)]).where(f"size(selected) = {n}").count() == 2
+
+
+def test_repair_and_settling_against_all_sets():
+    from itertools import combinations
+
+    rng = np.random.default_rng(9)
+    for trial in range(20):
+        n = int(rng.integers(2, 9))
+        k = int(rng.integers(1, n + 1))
+        q = np.triu(rng.normal(size=(n, n)))
+        energy = lambda c: sum(q[i, j] for i in c for j in c)  # noqa: B023, E731
+        got = search.repaired(np.flatnonzero(rng.random(n) < 0.5).tolist(), q, k)
+        assert len(got) == k
+        swaps = [sorted({*got} - {i} | {j}) for i in got for j in range(n) if j not in got]
+        assert all(energy(got) <= energy(c) + 1e-9 for c in swaps)
+        dear = q + np.triu(np.full((n, n), 4.0), 1) + np.diag(np.full(n, 2.0 * (1 - 2 * k)))  # 2 (size - k)^2 without its constant
+        chosen, low, _ = min((search._anneal(dear, k, 80, rng) for _ in range(4)), key=lambda r: (len(r[0]) != k, r[1]))
+        assert energy(chosen) <= min(energy(c) for c in combinations(range(n), k)) + 1e-9 and abs(low + 2.0 * k * k - energy(chosen)) < 1e-9
