@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -310,9 +310,10 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 0, rounds: int = 3,
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, positive: int = 1_000, negative: int = 2_000, longest: int = 200_000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, positive: int = 1_000, negative: int = 2_000, longest: int = 200_000, most_bytes: int = 64 << 20) -> Network:
     """Train on a bounded sample of labelled documents: about `positive` toxic and `negative` other ones
-    (all, if there are fewer), of at most `longest` characters, chosen by a hash of doc_id. Held-out rows are never read. Rows without a
+    (all, if there are fewer), of at most `longest` characters, chosen by a hash of doc_id. The chosen rows are written; of these as many come
+    to the driver, in the order of a hash, as have `most_bytes` of text together. Held-out rows are never read. Rows without a
     doc_id or label, and doc_ids with both labels, don't train; only text and label are inputs. A label that is repeated counts
     once; a doc_id with several texts trains with each. Empty tables are no error (see `train`)."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -322,7 +323,12 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = 1_000, negative: int
     share = {k: int(min(1.0, most / max(1, n.get(k, 0))) * (1 << 30)) for k, most in ((1, positive), (0, negative))}
     ids = known.where((F.col("toxic") == 1) & (F.col("h") < share[1]) | (F.col("toxic") == 0) & (F.col("h") < share[0])).orderBy("h", "doc_id").limit(2 * (positive + negative))
     short = docs.select("doc_id", "text").where(F.coalesce(F.length("text") <= longest, F.lit(True)))
-    rows = short.join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(3 * (positive + negative)).collect()
+    chosen = short.join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(3 * (positive + negative))
+    chosen = written(chosen.withColumn("at", F.monotonically_increasing_id()))
+    # four numbers of each of these bounded rows, so one window over all of them is small
+    sizes = chosen.select("at", "doc_id", F.xxhash64("doc_id", "text").alias("h"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    fits = sizes.withColumn("upto", F.sum("size").over(Window.orderBy("h", "doc_id", "at"))).where(F.col("upto") <= most_bytes).select("at")
+    rows = chosen.join(F.broadcast(fits), "at", "left_semi").collect()
     rows = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows))
     return train([t.encode() for _, t, _ in rows], [y for _, _, y in rows])
 

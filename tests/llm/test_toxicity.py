@@ -55,3 +55,18 @@ def test_held_out_accuracy_and_rows(spark):
     out = rows(t.score(odd, net), "toxicity_score", "predicted")
     assert len(out) == 5 and [s for s, _ in out[:2]] == [0, 0] and out[4][0] == 0
     assert t.score(odd.limit(0), net).count() == 0
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """The driver gets the first texts in the order of a hash, up to a number of bytes together, however the rows are partitioned."""
+    data = [(i, ("é" if i % 2 else "e") * (i % 7 + 1)) for i in range(400)] + [(3, None), (3, "twice")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(400)], "doc_id long, toxic int")
+    got = []
+    monkeypatch.setattr(t, "train", lambda texts, y: got.append(sorted(zip(texts, y))))
+    for most, rows_ in ((1 << 20, docs), (500, docs), (500, docs.repartition(9)), (0, docs.where("text is not null"))):
+        t.fit(rows_, labels, most_bytes=most)
+    size = [sum(len(x) for x, _ in g) for g in got]
+    learnt = [((x or "").encode(), i % 3 % 2) for i, x in data if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert got[0] == sorted(learnt) and size[0] > 500
+    assert got[1] == got[2] and 480 <= size[1] <= 500 and got[3] == []
