@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from featsel.functions.text import WORD, as_days, as_number, as_text, digits, is_missing, keywords, named, stripped, tokens
 from featsel.operators import stats
-from featsel.sinks.shared import written
+from featsel.sinks.shared import dropped, new_folder, written
 
 #: Share of a column's present values that must be numbers (or dates) for it to be a number (date) column.
 MOSTLY = 0.85
@@ -186,9 +186,21 @@ def exact_medians(df: DataFrame, values: dict[str, Column], together: int = 100_
     All columns are narrowed at once: a job finds approximate quantiles just beside every column's middle, another counts what is less
     and what is between, until at most `together` values are between (each round leaves a few thousandths); those of all columns
     are then counted by value and ranked in one job. So the number of passes doesn't grow with the columns, and no task holds
-    all values of one."""
-    names = list(values)
-    x = df.select(*[values[c].cast("double").alias(f"x{k}") for k, c in enumerate(names)])
+    all values of one. The passes read the values as plain numbers from a table that is written first and deleted at the end: what
+    they are made of (texts that are parsed, say) is computed once."""
+    if not values:
+        return {}
+    names, spark, at = list(values), df.sparkSession, new_folder(df.sparkSession)
+    made = df.select(*[values[c].cast("double").alias(f"x{k}") for k, c in enumerate(names)])
+    made.write.parquet(at)
+    try:
+        return _medians(spark.read.schema(made.schema).parquet(at), names, together)
+    finally:
+        dropped(spark, at)
+
+
+def _medians(x: DataFrame, names: list[str], together: int) -> dict[str, float | None]:
+    """`exact_medians` of the columns x0, x1, ... of the given names."""
     column = {c: F.col(f"x{k}") for k, c in enumerate(names)}
     ends = _of_each(x, names, lambda c: (F.min(column[c]), F.max(column[c]), F.count(column[c])))
     ranges = {c: _Range(low, high, n, 0, (n - 1) // 2, n // 2) for c, (low, high, n) in ends.items() if n}
