@@ -56,6 +56,11 @@ def _map(of: dict) -> Column:
     return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in of.items())), F.lit("\x01"), F.lit("\x02"))
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x), with x bound to a variable, so that the plan holds it once however often f reads it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _decomposed(text: Column) -> Column:
     """The canonical decomposition of a text (but for Hangul syllables): n (starters up to it), k (class), i (place), c of each
     character, with marks in the order of their classes."""
@@ -102,14 +107,21 @@ def _composed(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """Lower-cased (with one form of sigma), in Unicode normal form C, every run of white space one space, none at the ends.
     A null text counts as empty."""
-    folded = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ς"), F.lit("σ"))
-    cluster = F.regexp_extract_all(folded, F.lit(r"(?s)\P{M}[\p{M}ᅠ-ᇿ]*|[\p{M}]+"), F.lit(0))
     odd = _unicode_tables()[3]
-    # nothing below U+0300 needs normalising; testing for that first spares most texts the long class
-    normal = F.when(folded.rlike(r"[^\x00-\x{2FF}]") & folded.rlike(odd), F.array_join(F.transform(cluster, lambda c: F.when(c.rlike(odd), _composed(c)).otherwise(c)), "")).otherwise(folded)
-    plain = F.regexp_replace(normal, r"[ \t-\r\x1C-\x1F]{2,}|[\t-\r\x1C-\x1F]", " ")
-    wide = F.regexp_replace(normal, rf"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]", " ")
-    return F.trim(F.when(normal.rlike(r"[\x85\xA0\x{1680}-\x{3000}]"), wide).otherwise(plain))
+
+    def normal(folded: Column) -> Column:
+        cluster = F.regexp_extract_all(folded, F.lit(r"(?s)\P{M}[\p{M}ᅠ-ᇿ]*|[\p{M}]+"), F.lit(0))
+        each = F.array_join(F.transform(cluster, lambda c: F.when(c.rlike(odd), _composed(c)).otherwise(c)), "")
+        # nothing below U+0300 needs normalising; testing for that first spares most texts the long class
+        return F.when(folded.rlike(r"[^\x00-\x{2FF}]") & folded.rlike(odd), each).otherwise(folded)
+
+    def spaced(normal: Column) -> Column:
+        plain = F.regexp_replace(normal, r"[ \t-\r\x1C-\x1F]{2,}|[\t-\r\x1C-\x1F]", " ")
+        wide = F.regexp_replace(normal, rf"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]", " ")
+        return F.trim(F.when(normal.rlike(r"[\x85\xA0\x{1680}-\x{3000}]"), wide).otherwise(plain))
+
+    lower = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ς"), F.lit("σ"))
+    return _bound(_bound(lower, normal), spaced)
 
 
 @lru_cache
@@ -130,20 +142,20 @@ def folded(text: Column) -> Column:
     Letters that marks follow are decomposed first, with the marks in canonical order: an iota below folds to a letter, behind
     which marks could no longer be put in order."""
     fold, rare = _fold_tables()
-    text = F.coalesce(text, F.lit(""))
-    cluster = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
-    ordered = F.array_join(F.transform(cluster, lambda c: F.when(c.rlike(r"\p{M}"), F.array_join(F.transform(_decomposed(c), lambda x: x["c"]), "")).otherwise(c)), "")
-    text = F.when(text.rlike(r"[^\x00-\x{2FF}]") & text.rlike(r"\p{M}"), ordered).otherwise(text)
     of = _map(fold)
 
-    def rest(text: Column) -> Column:
-        low = F.replace(F.lower(text), F.lit("\xdf"), F.lit("ss"))
+    def ordered(text: Column) -> Column:
+        cluster = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
+        each = F.array_join(F.transform(cluster, lambda c: F.when(c.rlike(r"\p{M}"), F.array_join(F.transform(_decomposed(c), lambda x: x["c"]), "")).otherwise(c)), "")
+        return F.when(text.rlike(r"[^\x00-\x{2FF}]") & text.rlike(r"\p{M}"), each).otherwise(text)
+
+    def rest(low: Column) -> Column:
         each = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(of[c], c)), "")
         # nothing below U+0149 but the micro sign folds further; testing for that first spares most texts the long class
         return F.when(low.rlike(r"[^\x00-\xB4\xB6-\x{148}]") & low.rlike(rare) | low.contains("\xb5"), each).otherwise(low)
 
-    # the ordered text is bound to a variable, so that the plan holds it once
-    return F.transform(F.array(text), rest)[0]
+    text = _bound(F.coalesce(text, F.lit("")), ordered)
+    return _bound(F.replace(F.lower(text), F.lit("\xdf"), F.lit("ss")), rest)
 
 
 def wide_hash(text: Column, bits: int = 64) -> Column:
