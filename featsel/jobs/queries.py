@@ -318,7 +318,8 @@ def _weights(spark: SparkSession, models: dict) -> DataFrame:
 
 def _dealt(read) -> tuple[DataFrame, stats.Moments]:
     df = positions.assign_folds(line_returns(read), 3, 42, "row_id", "label")
-    return df, stats.moments(df, COLUMNS, "label", "fold")
+    df = shared.written(evaluate.merged(df, ["label", *COLUMNS, "fold"]))  # computed once for moments and models
+    return df, stats.moments(df, COLUMNS, "label", "fold", evaluate.ROWS)
 
 
 @_query("e2_linear_fit", _COMPARED + replay.linear(COLUMNS) + _WEIGHTS)
@@ -326,7 +327,7 @@ def _(read):
     """Weights of the linear models of every set and fold, from moments alone."""
     df, m = _dealt(read)
     out = {}
-    for name, chosen in _sets(*_statistics(read)).items():
+    for name, chosen in _sets(stats.relevance(df.sparkSession, m), stats.redundancy(df.sparkSession, m)).items():
         for fold, (w, b) in evaluate.fit_linear(m, chosen).items():
             full = dict(zip(chosen, w))
             out[name, fold] = [full.get(i, 0.0) for i in range(len(COLUMNS))], b
@@ -337,7 +338,8 @@ def _(read):
 def _(read):
     """Weights of the logistic models of every set and fold, trained together."""
     df, m = _dealt(read)
-    return _weights(df.sparkSession, evaluate.fit_logistic(df, m, _sets(*_statistics(read)), "fold"))
+    sets = _sets(stats.relevance(df.sparkSession, m), stats.redundancy(df.sparkSession, m))
+    return _weights(df.sparkSession, evaluate.fit_logistic(df, m, sets, "fold", weight=evaluate.ROWS))
 
 
 @_query("e8_evaluate_sets", _COMPARED + replay.logistic(COLUMNS, "label") + replay.predicted(COLUMNS, "label", True) + replay.scores(True) + replay.report(True))

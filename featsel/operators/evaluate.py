@@ -4,33 +4,51 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featsel.operators import positions
-from featsel.operators.stats import TINY, Moments, complete, moments, summed
+from featsel.operators.stats import TINY, Moments, columns_of, complete, moments, summed
 
 
-def classification_metrics(pred: DataFrame, by: str = "set_id") -> DataFrame:
-    """set_id, accuracy (p >= .5), log_loss (p clipped at 1e-9) of rows (set_id, label, p)."""
+#: The column of `merged` that tells how many rows a row stands for.
+ROWS = "_rows"
+
+
+def merged(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of `df` with equal rows as one and how many they are (`ROWS`): models and metrics add up over rows, so that what
+    repeats is computed once."""
+    return df.groupBy(*columns).agg(F.count("*").cast("double").alias(ROWS))
+
+
+def _times(weight: str | None) -> Column:
+    return F.col(weight) if weight else F.lit(1.0)
+
+
+def classification_metrics(pred: DataFrame, by: str = "set_id", weight: str | None = None) -> DataFrame:
+    """set_id, accuracy (p >= .5), log_loss (p clipped at 1e-9) of rows (set_id, label, p); a row counts `weight` times."""
+    n = _times(weight)
     p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), "p"))
     hit = F.when((F.col("p") >= 0.5).cast("double") == F.col("label"), 1.0).otherwise(0.0)
     loss = -F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p))
-    return pred.groupBy(by).agg(F.avg(hit).alias("accuracy"), F.avg(loss).alias("log_loss"))
+    return pred.groupBy(by).agg((F.sum(hit * n) / F.sum(n)).alias("accuracy"), (F.sum(loss * n) / F.sum(n)).alias("log_loss"))
 
 
 #: Scores that a task sorts, about.
 SCORES_A_TASK = 2_000_000
 
 
-def auc(pred: DataFrame, by: str = "set_id", partitions: int | None = None) -> DataFrame:
+def auc(pred: DataFrame, by: str = "set_id", partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """set_id, auc: area under the ROC curve with average ranks for ties; 0.5 if a class is absent.
 
     Ties are grouped first, so a score that many rows have is one row. (set, score) is then cut into ranges at splitters
     sampled from what there is, so that ranges hold about as many rows each, however sets and scores are spread. A task
     ranks its range by itself and returns, for each set, its rows, positives and sum of ranks; a range starts after those
-    before it, which is carried over those few rows. partitions: ranges (else the session's shuffle partitions)."""
-    ties = pred.groupBy(by, "p").agg(F.sum("label").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
+    before it, which is carried over those few rows. partitions: ranges (else the session's shuffle partitions).
+    A row counts `weight` times."""
+    times = _times(weight)
+    ties = pred.groupBy(by, "p").agg(F.sum(F.col("label") * times).cast("double").alias("pos"), F.sum(times).cast("double").alias("n"))
     cut = (partitions,) if partitions else ()
     ranged = ties.repartitionByRange(*cut, by, "p").sortWithinPartitions(by, "p")
 
@@ -112,11 +130,12 @@ def linear_scores(m: Moments, sets: dict[str, list[int]], steps: int = 64) -> di
     return out
 
 
-def fit_logistic(df: DataFrame, m: Moments, sets: dict[str, list[int]], fold: str, steps: int = 64) -> dict[tuple[str, int], tuple[np.ndarray, float]]:
+def fit_logistic(df: DataFrame, m: Moments, sets: dict[str, list[int]], fold: str, steps: int = 64, weight: str | None = None) -> dict[tuple[str, int], tuple[np.ndarray, float]]:
     """(set, fold) -> (weights, intercept) on the original scale. All models train together: each step is one job over
     the rows, packed once into numpy blocks and persisted, whatever the number of sets; the gradients of the tasks are added up
     in two steps (`stats.summed`). Steps .16 / (1 + .012 e), ridge .012 on the weights, linear term clipped at 35.
-    Rows with a null or NaN in a column, the label or the fold don't train."""
+    Rows with a null or NaN in a column, the label or the fold don't train; a row counts `weight` times. A block meets only the
+    models that train on its fold."""
     from pyspark import StorageLevel
 
     names, models = m.names[:-1], [(s, f) for s in sets for f in sorted(m.folds)]
@@ -128,34 +147,52 @@ def fit_logistic(df: DataFrame, m: Moments, sets: dict[str, list[int]], fold: st
         n[k], total, _ = m.total(but=f)
         var = np.diag(m.centred(but=f))[:-1] / max(n[k], 1)
         mean[:, k], sd[:, k] = total[:-1] / max(n[k], 1), np.sqrt(np.where(var > TINY, var, 1.0))
-    shift, test = m.shift[:-1], np.array([f for _, f in models])
+    shift = m.shift[:-1]
+    training = {int(f): np.array([k for k, (_, t) in enumerate(models) if t != f], int) for f in m.folds}
 
     def pack(batches):
-        for pdf in batches:
-            for f, part in pdf.groupby("_fold"):
-                x = part[names].to_numpy(float) - shift
-                yield pd.DataFrame({"fold": [int(f)], "x": [x.tobytes()], "y": [part["_y"].to_numpy(float).tobytes()]})
-
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in names], F.col(fold).cast("int").alias("_fold"), F.col(m.names[-1]).cast("double").alias("_y"))
+        for batch in batches:
+            x, f = columns_of(batch, d + 2), batch.column(d + 2).to_numpy(zero_copy_only=False)
+            x[:d] -= shift[:, None]
+            for k in np.unique(f):
+                part = x[:, f == k]
+                values = [np.ascontiguousarray(part[:d].T).tobytes(), part[d].tobytes(), part[d + 1].tobytes()]
+                yield pa.record_batch([pa.array([int(k)], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], ["fold", "x", "y", "n"])
+
+    kept = [F.col(c).cast("double").alias(c) for c in names]
+    rows = df.select(*kept, F.col(m.names[-1]).cast("double").alias("_y"), _times(weight).cast("double").alias("_n"), F.col(fold).cast("int").alias("_fold"))
     rows = complete(rows, [*names, "_fold", "_y"])
-    blocks = rows.mapInPandas(pack, "fold int, x binary, y binary").persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = rows.mapInArrow(pack, "fold int, x binary, y binary, n binary").persist(StorageLevel.MEMORY_AND_DISK)
     tasks = blocks.rdd.getNumPartitions()
     w, b = np.zeros((d, len(models))), np.zeros(len(models))
     for e in range(steps):
         v, c = w / sd, b - (mean * w / sd).sum(axis=0)
 
-        def gradient(batches, v=v, c=c):
-            total = np.zeros((d + 1, len(models)))
-            for pdf in batches:
-                for f, xb, yb in zip(pdf["fold"], pdf["x"], pdf["y"]):
-                    x, y = np.frombuffer(xb).reshape(-1, d), np.frombuffer(yb)
-                    err = 1 / (1 + np.exp(-np.clip(x @ v + c, -35, 35))) - y[:, None]
-                    err[:, test == f] = 0
-                    total[:d] += x.T @ err
-                    total[d] += err.sum(axis=0)
-            yield pd.DataFrame({"key": [0], "v": [total.ravel().tolist()]})
-
-        g = summed(blocks.mapInPandas(gradient, "key int, v array<double>"), tasks).get(0, np.zeros((d + 1) * len(models))).reshape(d + 1, len(models))
+        each = {f: (np.ascontiguousarray(v[:, own]), c[own]) for f, own in training.items()}
+
+        def gradient(batches, each=each):
+            total = {f: np.zeros((d + 1, len(own))) for f, own in training.items()}
+            for batch in batches:
+                for at, f in enumerate(batch.column(0).to_pylist()):
+                    x, y, n = (np.frombuffer(batch.column(k)[at].as_buffer()) for k in (1, 2, 3))
+                    x, (vf, cf), g = x.reshape(-1, d), each[f], total[f]
+                    err = x @ vf  # made into the errors in place
+                    err += cf
+                    np.clip(err, -35, 35, out=err)
+                    np.negative(err, out=err)
+                    np.exp(err, out=err)
+                    err += 1
+                    np.reciprocal(err, out=err)
+                    err -= y[:, None]
+                    err *= n[:, None]
+                    g[:d] += x.T @ err
+                    g[d] += err.sum(axis=0)
+            all_ = np.zeros((d + 1, len(models)))
+            for f, own in training.items():
+                all_[:, own] += total[f]
+            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([all_.ravel().tolist()], pa.list_(pa.float64()))], ["key", "v"])
+
+        g = summed(blocks.mapInArrow(gradient, "key int, v array<double>"), tasks).get(0, np.zeros((d + 1) * len(models))).reshape(d + 1, len(models))
         step = 0.16 / (1 + 0.012 * e)
         w -= step * (use * (g[:d] - mean * g[d]) / sd / np.maximum(n, 1) + 0.012 * w)
         b -= step * g[d] / np.maximum(n, 1)
@@ -164,8 +201,8 @@ def fit_logistic(df: DataFrame, m: Moments, sets: dict[str, list[int]], fold: st
     return {k: (v[:, i], float(b[i] - (mean[:, i] * v[:, i]).sum() - v[:, i] @ shift)) for i, k in enumerate(models)}
 
 
-def predictions(df: DataFrame, columns: list[str], models: dict, fold: str, label: str, logistic: bool) -> DataFrame:
-    """set_id, label, p: every row once for each set, by the model that didn't see its fold; a projection."""
+def predictions(df: DataFrame, columns: list[str], models: dict, fold: str, label: str, logistic: bool, weight: str | None = None) -> DataFrame:
+    """set_id, label, p (and `weight`, if given): every row once for each set, by the model that didn't see its fold; a projection."""
     def p(s: str) -> Column:
         value = None
         for (name, f), (w, b) in models.items():
@@ -177,7 +214,7 @@ def predictions(df: DataFrame, columns: list[str], models: dict, fold: str, labe
                 value = F.when(F.col(fold) == f, z) if value is None else value.when(F.col(fold) == f, z)
         return value
 
-    each = [F.struct(F.lit(s).alias("set_id"), F.col(label).cast("double").alias("label"), p(s).alias("p")) for s in dict.fromkeys(s for s, _ in models)]
+    each = [F.struct(F.lit(s).alias("set_id"), F.col(label).cast("double").alias("label"), p(s).alias("p"), *([F.col(weight)] if weight else [])) for s in dict.fromkeys(s for s, _ in models)]
     return df.select(F.inline(F.array(*each)))
 
 
@@ -194,7 +231,7 @@ def evaluate_subsets(
     of a small logistic model, or R^2 and RMSE of a linear one; and folds, rows and 2m + 1 operations a row.
 
     All sets get the same rows (all, or a stratified sample of `max_samples`) and the same folds, and equal sets are
-    scored once. Logistic models of all sets train together, linear ones follow from one pass of moments. An empty set is an error."""
+    scored once. For a classification equal rows of a fold are one with a weight. Logistic models of all sets train together, linear ones follow from one pass of moments. An empty set is an error."""
     if not sets or not all(sets.values()):
         raise ValueError("every set needs at least one input")
     spark = df.sparkSession
@@ -205,15 +242,16 @@ def evaluate_subsets(
     if max_samples:
         rows = positions.validation_sample(rows, max_samples, seed, id_col, strata)
     rows = positions.assign_folds(rows, folds, seed, id_col, strata)
-    if task == "classification":
-        rows = rows.persist()
-    m = moments(rows, columns, label, "fold")
+    weight = ROWS if task == "classification" else None
+    if weight:
+        rows = merged(rows, [label, *columns, "fold"]).persist()
+    m = moments(rows, columns, label, "fold", weight)
     n, of = int(m.total()[0]), {name: list(key) for key, name in names.items()}
     if task == "classification":
-        models = fit_logistic(rows, m, of, "fold", steps)
-        pred = predictions(rows, columns, models, "fold", label, True)
+        models = fit_logistic(rows, m, of, "fold", steps, weight)
+        pred = predictions(rows, columns, models, "fold", label, True, weight)
         ranges = max(spark.sparkContext.defaultParallelism, -(-n * len(of) // SCORES_A_TASK))
-        found = {r["set_id"]: r for r in classification_metrics(pred).join(auc(pred, partitions=ranges), "set_id").collect()}  # one row a set
+        found = {r["set_id"]: r for r in classification_metrics(pred, weight=weight).join(auc(pred, partitions=ranges, weight=weight), "set_id").collect()}  # one row a set
         rows.unpersist()
         values = {s: (r["auc"], "ROC AUC", r["accuracy"], "Accuracy", r["log_loss"], "Log loss") for s, r in found.items()}
     else:

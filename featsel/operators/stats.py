@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,32 +85,42 @@ def summed(parts: DataFrame, tasks: int | None = None, merge=added) -> dict[int,
     return {int(k): merge(np.stack(g["v"].tolist())) for k, g in rows.groupby("key")}
 
 
-def moments(df: DataFrame, columns: list[str], label: str, fold: str | None = None) -> Moments:
+def columns_of(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    """The first n columns of an Arrow batch (doubles without nulls), a row each."""
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n)])
+
+
+def moments(df: DataFrame, columns: list[str], label: str, fold: str | None = None, weight: str | None = None) -> Moments:
     """One pass over the rows: each task makes the means and products of its rows in numpy, and only (d+1)^2 numbers a task and fold
     travel, which are merged level by level (`summed` by `chan`). Values are shifted by the columns' means first, for
-    stability. Rows with a null or NaN in any of the columns don't count; without rows all moments are 0."""
+    stability. Rows with a null or NaN in any of the columns don't count; without rows all moments are 0. weight: a column that tells
+    how many rows each row stands for."""
     names = [*columns, label]
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in names], (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"))
+    kept = [F.col(c).cast("double").alias(c) for c in names]
+    rows = df.select(*kept, (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"), *([F.col(weight).cast("double").alias("_rows")] if weight else []))
     rows = complete(rows, names)
     first = rows.agg(*[F.avg(c) for c in names]).first()
     shift = np.array([x if x is not None else 0.0 for x in first], float)
 
     def run(batches):
         state: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            x, f = pdf[names].to_numpy(float) - shift, pdf["_fold"].to_numpy()
+        for batch in batches:
+            x, f = columns_of(batch, len(names)) - shift[:, None], batch.column(len(names)).to_numpy(zero_copy_only=False)
+            w = batch.column(len(names) + 1).to_numpy(zero_copy_only=False) if weight else None
             for k in np.unique(f):
-                part = x[f == k]
-                mean = part.mean(axis=0)
-                part = part - mean
-                new = np.concatenate([[len(part)], mean, (part.T @ part).ravel()])
+                here = f == k
+                part, n = x[:, here], w[here] if weight else np.ones(1)
+                total = n.sum() if weight else here.sum()
+                mean = (part * n).sum(axis=1) / total
+                part = part - mean[:, None]
+                new = np.concatenate([[total], mean, ((part * n) @ part.T).ravel()])
                 state[int(k)] = chan(np.stack([state[int(k)], new])) if int(k) in state else new
         if state:
-            yield pd.DataFrame([{"key": k, "v": v.tolist()} for k, v in state.items()])
+            yield pa.record_batch([pa.array(list(state), pa.int32()), pa.array([v.tolist() for v in state.values()], pa.list_(pa.float64()))], ["key", "v"])
 
     d = len(names)
     folds = {}
-    for k, v in sorted(summed(rows.mapInPandas(run, "key int, v array<double>"), merge=chan).items()):
+    for k, v in sorted(summed(rows.mapInArrow(run, "key int, v array<double>"), merge=chan).items()):
         n, mean, c = float(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d)
         folds[k] = (n, n * mean, c + n * np.outer(mean, mean))
     return Moments(names, shift, folds or {0: (0.0, np.zeros(len(names)), np.zeros((len(names),) * 2))})
