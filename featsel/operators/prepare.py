@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featsel.functions.text import WORD, as_days, as_number, as_text, digits, is_missing, keywords, named, stripped, tokens
+from featsel.functions.text import as_text, digit_count, keywords, named, stripped_days, stripped_missing, stripped_number, tokens, word_count
 from featsel.operators import stats
 from featsel.sinks.shared import dropped, new_folder, written
 
@@ -41,22 +41,23 @@ class View(NamedTuple):
         return F.when(self.missing, NONE).otherwise(self.text)
 
 
-def view(f: T.StructField) -> View:
+def view(f: T.StructField, is_text: bool = False) -> View:
     """Typed columns are taken for what they are: numbers (NaN and infinite ones are missing), dates and times (those
-    without zone are UTC). Anything else is read as text."""
+    without zone are UTC). Anything else is read as text. is_text: the column is stripped text already (`as_text`)."""
     c, none = named(f.name), F.lit(None).cast("double")
+    text = F.coalesce(c.cast("string"), F.lit(""))  # no white space at the ends of numbers, dates and stripped texts
     if isinstance(f.dataType, T.NumericType):
         x = c.cast("double")
         x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-        return View(f.name, x.isNull(), x, none, stripped(c), "numeric")
+        return View(f.name, x.isNull(), x, none, text, "numeric")
     if isinstance(f.dataType, (T.DateType, T.TimestampNTZType)):
         epoch = F.lit("1970-01-01").cast("timestamp_ntz")
         days = F.timestamp_diff("MICROSECOND", epoch, c.cast("timestamp_ntz")) / F.lit(86_400_000_000.0)
-        return View(f.name, c.isNull(), none, days, stripped(c), "date")
+        return View(f.name, c.isNull(), none, days, text, "date")
     if isinstance(f.dataType, T.TimestampType):
-        return View(f.name, c.isNull(), none, F.unix_micros(c) / F.lit(86_400_000_000.0), stripped(c), "date")
-    text = as_text(f)
-    return View(f.name, is_missing(text), as_number(text), F.when(text.rlike(r"^\d[\d/-]"), as_days(text)), text)
+        return View(f.name, c.isNull(), none, F.unix_micros(c) / F.lit(86_400_000_000.0), text, "date")
+    text = text if is_text else as_text(f)
+    return View(f.name, stripped_missing(text), stripped_number(text), stripped_days(text), text)
 
 
 def staged(df: DataFrame, columns: list[str], keep: tuple[Column, ...] = ()) -> tuple[DataFrame, dict[str, View]]:
@@ -65,7 +66,7 @@ def staged(df: DataFrame, columns: list[str], keep: tuple[Column, ...] = ()) ->
     raw = [(f"r{k}", df.schema[c]) for k, c in enumerate(columns)]
     typed = (T.NumericType, T.DateType, T.TimestampNTZType, T.TimestampType)
     out = df.select(*keep, *[(named(f.name) if isinstance(f.dataType, typed) else as_text(f)).alias(r) for r, f in raw])
-    seen = {r: view(out.schema[r]) for r, _ in raw}
+    seen = {r: view(out.schema[r], is_text=True) for r, _ in raw}
     names = out.columns
     out = out.select(*map(named, names), *[x.alias(n + r[1:]) for r, v in seen.items() for n, x in (("m", v.missing), ("n", v.number), ("d", v.days))])
     texts = [F.when(F.col("m" + r[1:]), NONE).otherwise(seen[r].text).alias("v" + r[1:]) for r, _ in raw]
@@ -79,8 +80,9 @@ def _value(views: dict[str, View], c: str) -> Column:
     return F.col(f"v{list(views).index(c)}")
 
 
-def _profile(df: DataFrame) -> list:
-    """One record a column: name, n_rows, present, numeric, dates, avg_words, avg_length, lowest and highest number and day."""
+def _profile(df: DataFrame, all_texts: bool = True) -> list:
+    """One record a column: name, n_rows, present, numeric, dates, avg_words, avg_length, lowest and highest number and day. The
+    averages of columns whose type tells their kind are left out (null) if not `all_texts`."""
     out = []
     for at in range(0, len(df.columns), COLUMNS_A_JOB):
         part, aggs = df.columns[at : at + COLUMNS_A_JOB], []
@@ -91,8 +93,7 @@ def _profile(df: DataFrame) -> list:
                 F.count_if(~v.missing).alias(f"{k}_present"),
                 F.count_if(~v.missing & v.number.isNotNull()).alias(f"{k}_numeric"),
                 F.count_if(~v.missing & v.days.isNotNull()).alias(f"{k}_dates"),
-                F.avg(F.regexp_count(value, F.lit(WORD))).alias(f"{k}_avg_words"),
-                F.avg(F.length(value)).alias(f"{k}_avg_length"),
+                *[(F.avg(x) if all_texts or not v.kind else F.lit(None).cast("double")).alias(f"{k}_avg_{n}") for n, x in (("words", word_count(value)), ("length", F.length(value)))],
                 *[g(x).alias(f"{k}_{n}") for n, x in (("number", v.number), ("day", v.days)) for g, n in ((F.min, f"low_{n}"), (F.max, f"high_{n}"))],
             ]
         wide = rows.agg(F.count("*").alias("n_rows"), *aggs)
@@ -370,11 +371,14 @@ def significant(c: Column, digits: int = 10) -> Column:
     """A number as text with up to `digits` significant digits, as C's %.10g writes it: plain from 1e-4 to below 1e10, else with
     an exponent; no trailing zeros; null stays null."""
     x = c.cast("double")
+    # a number that its shortest text tells apart with no more digits; the rest is formatted
+    shortest = x.cast("string")
+    few = ((x == 0) | F.abs(x).between(1e-3, 1e7 - 1)) & (F.length(shortest) <= digits + 1)
     size = F.abs(F.format_string(f"%.{digits - 1}e", x).try_cast("double"))  # as rounded
     plain = F.format_string(f"%.{digits}g", x)  # keeps trailing zeros
     power = F.regexp_replace(F.format_string(f"%.{digits - 1}e", x), r"\.?0*e", "e")
     short = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
-    return F.when((size == 0) | size.between(1e-4, 10.0**digits * (1 - 1e-15)), short).when(x.isNotNull(), power)
+    return F.when(few, F.rtrim(F.rtrim(shortest, F.lit("0")), F.lit("."))).when((size == 0) | size.between(1e-4, 10.0**digits * (1 - 1e-15)), short).when(x.isNotNull(), power)
 
 
 @dataclass
@@ -410,9 +414,9 @@ def row_id(df: DataFrame) -> Column:
 
 def _measures(value: Column, words: Column, share) -> list[tuple[str, Column]]:
     return [
-        ("text length", F.length(value).cast("double")), ("word count", F.regexp_count(value, F.lit(WORD)).cast("double")),
+        ("text length", F.length(value).cast("double")), ("word count", word_count(value).cast("double")),
         ("vocabulary variety", share(F.size(F.array_distinct(words)), F.size(words))),
-        ("digit share", share(F.length(F.regexp_replace(value, f"[^{digits()}]", "")), F.length(value))),
+        ("digit share", share(digit_count(value), F.length(value))),
     ]
 
 
@@ -420,7 +424,7 @@ def _inputs(raw: DataFrame, rows: DataFrame, views: dict[str, View], n: int) ->
     """Candidate inputs (name, source, kind, value) of the columns in order, constants left out, and notes. `rows` are the staged
     rows of `raw`; they are returned with what the values need more."""
     columns = list(views)
-    profile = {r["name"]: r for part in _profile(raw.select(*map(named, columns))) for r in part.collect()}
+    profile = {r["name"]: r for part in _profile(raw.select(*map(named, columns)), all_texts=False) for r in part.collect()}
     kind = {}
     for c in columns:
         p = profile[c]
